@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import bpe, mixing, quality, secret_scan
+from vecloom.llm import bpe, jaccard_join, mixing, quality, secret_scan
 from vecloom.llm.common import shared_dir
 
 
@@ -22,6 +22,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep(docs)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that links of 85 % of their 4-word shingles lead together the one of the smallest id stays."""
+    return jaccard_join.keep_one(docs)
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret in a text becomes [secret]; n_chars follows the text."""
     return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
@@ -40,6 +45,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
     ("secrets", mask_secrets),
     ("mix", mix_sources),
     ("tokens", tokenise),

@@ -34,5 +34,14 @@ placed AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1,
 SELECT doc_id, placed.slot, ([{names}])[owner + 1] AS shard FROM placed JOIN owners ON placed.slot = owners.slot"""
 
 
+_TOPK = """
+WITH sound AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM sound q JOIN sound c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+
 def sql() -> dict[str, str]:
-    return {"op8_mix": _mix(), "op6_sharding": _shard()}
+    return {"op8_mix": _mix(), "op6_sharding": _shard(), "op5_topk": _TOPK}

@@ -4,13 +4,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licences, mixing, oracles, quality, secret_scan, sharding, url_filter
+from . import bpe, jaccard_join, licences, mixing, oracles, quality, secret_scan, sharding, topk, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    return jaccard_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, encoded and decoded again."""
     ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
@@ -33,6 +38,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score of the ten best rows for each query."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.search(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, slot, shard of every document."""
     return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard")
@@ -60,7 +71,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_license_scan, op4_url_filter, op6_sharding, op8_mix, op9_secret_scan, op10_quality)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_byte_bpe, op3_license_scan, op4_url_filter, op5_topk, op6_sharding, op8_mix, op9_secret_scan, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
