@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, licences, mixing, oracles, quality, secret_scan, sharding, topk, url_filter
+from . import bpe, jaccard_join, licences, lm, mixing, oracles, quality, secret_scan, sharding, topk, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    return lm.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     planned = mixing.plan(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -71,7 +76,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_byte_bpe, op3_license_scan, op4_url_filter, op5_topk, op6_sharding, op8_mix, op9_secret_scan, op10_quality)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_byte_bpe, op3_license_scan, op4_url_filter, op5_topk, op6_sharding, op7_lm_score, op8_mix, op9_secret_scan, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
