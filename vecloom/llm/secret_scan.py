@@ -76,7 +76,7 @@ def codes(token: Column) -> Column:
 def pairs(token: Column) -> Column:
     """Index of each (previous symbol, symbol), the first with the start symbol."""
     s = codes(token)
-    return F.transform(s, lambda x, i: F.when(i > 0, F.get(s, i - 1)).otherwise(0) * K + x)
+    return F.zip_with(F.slice(F.concat(F.array(F.lit(0)), s), F.lit(1), F.size(s)), s, lambda y, z: y * K + z)
 
 
 def ratio_table(samples: DataFrame) -> DataFrame:

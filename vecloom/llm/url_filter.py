@@ -41,12 +41,19 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def trigrams(url: Column) -> Column:
-    """Index of (symbol before last, last symbol, symbol) for each character of a URL."""
+def symbols(url: Column) -> Column:
+    """The symbols of a URL; none for null."""
     low = F.translate(ascii_lower(F.coalesce(url, F.lit(""))), "123456789", "000000000")
-    s = F.transform(F.filter(F.split(low, ""), lambda c: c != F.lit("")), lambda c: F.instr(F.lit(ALPHABET), c))
-    at = lambda i: F.when(i >= 0, F.get(s, i)).otherwise(F.lit(K - 1))
-    return F.transform(s, lambda x, i: (at(i - 2) * K + at(i - 1)) * K + x)
+    return F.transform(F.filter(F.split(low, ""), lambda c: c != F.lit("")), lambda c: F.instr(F.lit(ALPHABET), c))
+
+
+def trigrams(s: Column) -> Column:
+    """Index of (symbol before last, last symbol, symbol) at each place of a column of symbols."""
+
+    def moved(by: int) -> Column:
+        return F.slice(F.concat(F.array(*[F.lit(K - 1)] * by), s), F.lit(1), F.size(s))
+
+    return F.zip_with(moved(2), F.zip_with(moved(1), s, lambda y, z: y * K + z), lambda x, yz: x * (K * K) + yz)
 
 
 def log_ratios(labelled: DataFrame) -> DataFrame:
@@ -87,7 +94,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
     host, path = host_path(F.col(url_col))
     keyed = pages.withColumn("host", host).withColumn("path", path)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    keyed = keyed.withColumn("rule", rule).withColumn("_rule_verdict", verdict).withColumn("_keys", trigrams(F.col(url_col)))
+    keyed = keyed.withColumn("rule", rule).withColumn("_rule_verdict", verdict).withColumn("_symbols", symbols(F.col(url_col))).withColumn("_keys", trigrams(F.col("_symbols"))).drop("_symbols")
     labelled = keyed.filter(F.col("_rule_verdict").isNotNull()).select("_rule_verdict", "_keys")
     ratios = table_literal(log_ratios(labelled))
 
