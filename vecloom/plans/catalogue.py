@@ -7,14 +7,16 @@ seventh), `doc_log` (events as versions of users' rows), `oplog` and heartbeats
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, vector
-from ..operators import admission, compaction, liveness, lww, measure, placement, search, tag_index
+from ..operators import admission, ann, compaction, liveness, lww, measure, placement, search, tag_index
 from ..session import table
+from ..streaming import upsert
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
@@ -566,6 +568,48 @@ def prometheus_text(spark, d):
     return measure.prometheus(counts.select(F.lit("ops_total").alias("name"), F.format_string('op="%s"', "event_type").alias("labels"), "value"))
 
 
+# Approximate search and streams (no SQL counterpart, or one over the whole table) ----------------
+
+
+def _recall(spark: SparkSession, d: str, found: DataFrame, v: DataFrame, asked: DataFrame) -> DataFrame:
+    exact = search.batch_top_k(v, asked, 10)
+    per = measure.agreement(exact, found)
+    return per.agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("recall"), F.min("overlap").alias("least_overlap"))
+
+
+@query()
+def ann_ivf_recall(spark, d):
+    """Recall of the inverted file against exact search, for every hundredth row."""
+    v = vec(spark, d)
+    asked = v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("qvec"))
+    c = ann.centroids(v, 16)
+    return _recall(spark, d, ann.ivf_search(ann.assign(v, c), c, asked, 10, nprobe=10), v, asked)
+
+
+@query()
+def ann_hnsw_recall(spark, d):
+    """Recall of the segments' graphs against exact search, for every hundredth row."""
+    v = vec(spark, d)
+    asked = v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("qvec"))
+    return _recall(spark, d, ann.graph_search(v, asked, 10), v, asked)
+
+
+@query("SELECT 'self_loop' AS problem, 0::BIGINT AS n UNION ALL SELECT 'degree', 0 UNION ALL SELECT 'absent', 0")
+def ann_graph_invariants(spark, d):
+    return ann.check_edges(ann.graph_edges(vec(spark, d)))
+
+
+@query(f"WITH {_DOC} SELECT id, ts, version, tombstone FROM newest")
+def stream_lww_upsert(spark, d):
+    """The events as a stream, appended to a log batch by batch, then its newest rows."""
+    root = f"{upsert.scratch(spark)}/{uuid.uuid4().hex}"
+    src = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = src.select(F.col("user_id").alias("id"), us.alias("ts"), F.col("event_id").alias("version"), (F.col("event_type") == "error").alias("tombstone"))
+    upsert.into_log(rows, f"{root}/log", f"{root}/checkpoint").awaitTermination()
+    return lww.newest(spark.read.parquet(f"{root}/log").drop("batch"), segment=None)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
