@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    s = local_session(4, memory="4g", partitions=4, **{"spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
+    s = local_session(2, memory="4g", partitions=4, **{"spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

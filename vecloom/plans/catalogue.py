@@ -47,7 +47,7 @@ _DOC = """doc_log AS (SELECT user_id AS id, epoch_us(ts) AS ts, event_id AS vers
 newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, version DESC) AS rn FROM doc_log) WHERE rn = 1)"""
 _Q = "(SELECT vector FROM vec WHERE id = 0)"
 _COS = "list_cosine_similarity({a}, {b})"
-_L2 = "-list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+_L2 = "(0::DOUBLE - list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
 
 
 def vec(spark: SparkSession, d: str) -> DataFrame:
