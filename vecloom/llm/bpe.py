@@ -31,11 +31,22 @@ from .common import ship
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries kept in a worker's memos; a full memo is emptied, which costs time and changes nothing.
-MAX_STATES, MAX_WORDS = 300_000, 150_000
+MAX_STATES, MAX_WORDS = 250_000, 125_000
 #: Characters of a text that are split into words at a time, and bytes of texts put into one result batch.
 WINDOW, BATCH_CHARS = 1 << 20, 4 << 20
 
 
+#: Bits of a trie node's number.
+NODE = 24
+NODES = (1 << NODE) - 1
+
+
+class State(dict):
+    """A state's moves so far: byte to (next state, last token of the prefix read)."""
+
+    __slots__ = ("places",)
+
+
 class Transducer:
     """The lazily determinised encoder of one vocabulary of ranks."""
 
@@ -54,57 +65,94 @@ class Transducer:
                     self.token.append(-1)
                 node = nxt
             self.token[node] = rank
-        self.stable: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.edges: dict[tuple[int, int], list[int]] = {}
+        self.stable: dict[int, bool] = {}
+        self.words: dict[str, tuple[int, ...]] = {}  # recent words, and those of the time before
+        self.older: dict[str, tuple[int, ...]] = {}
         self._clear()
 
     def _clear(self) -> None:
-        #: A state is its open places: (last token before it or -1, trie node), oldest first.
-        self.states: list[tuple] = []
-        self.ids: dict[tuple, int] = {}
-        self.moves: list[dict[int, tuple[int, int]]] = []
-        self.number(((-1, 0),))
-
-    def number(self, state: tuple) -> int:
-        k = self.ids.get(state)
-        if k is None:
-            k = self.ids[state] = len(self.states)
-            self.states.append(state)
-            self.moves.append({})
-        return k
-
-    def merged(self, word: bytes) -> list[int]:
-        """The tokens of a few bytes, by merging the lowest-ranked neighbours until none is left."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        #: A state is its open places, oldest first, each as (last token before it + 1) << NODE | trie node.
+        self.states: dict[tuple, State] = {}
+        self.start = self.state((0,))
+
+    def state(self, places: tuple) -> State:
+        s = self.states.get(places)
+        if s is None:
+            s = self.states[places] = State()
+            s.places = places
+        return s
+
+    def split(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes a token, (-1, -1) for a single byte, None if merging its bytes never leads to it."""
+        if token not in self.halves:
+            word = self.text_of[token]
+            parts = [word[i : i + 1] for i in range(len(word))]
+            while len(parts) > 2:
+                rank, at = min((self.ranks.get(x + y, 1 << 60), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
+                if rank == 1 << 60:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.halves[token] = (-1, -1) if len(parts) == 1 else (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return self.halves[token]
+
+    def edge(self, token: int, side: int) -> list[int]:
+        """The tokens at one edge of a token as it grows, from the single byte to itself; empty if it never comes about."""
+        got = self.edges.get((token, side))
+        if got is None:
+            halves = self.split(token)
+            below = [] if halves is None or halves[0] < 0 else self.edge(halves[side], side)
+            got = [] if halves is None or (halves[0] >= 0 and not (below and self.is_stable(-1, halves[1 - side]))) else [*below, token]
+            self.edges[token, side] = got
+        return got
 
     def is_stable(self, left: int, right: int) -> bool:
-        """Whether `right` may follow `left` (-1: the word's start)."""
-        got = self.stable.get((left, right))
+        """Whether `right` may follow `left` (-1: the word's start) in a tokenisation.
+
+        Both grow on their own, merge by merge in the order of ranks. They stay
+        apart if at no time the tokens that then meet at their border merge with
+        a rank that comes before the next merge on either side; of equal ranks
+        the one further left comes first.
+        """
+        key = left << 32 | right
+        got = self.stable.get(key)
         if got is None:
-            if len(self.stable) > 4 * MAX_STATES:
+            b = self.edge(right, 0)
+            if left < 0:
+                got = bool(b)
+            else:
+                a, got, i, j = self.edge(left, 1), True, 0, 0
+                while got:
+                    next_a, next_b = (a[i + 1] if i + 1 < len(a) else 1 << 60), (b[j + 1] if j + 1 < len(b) else 1 << 60)
+                    both = self.ranks.get(self.text_of[a[i]] + self.text_of[b[j]], 1 << 60)
+                    if both < next_a and both <= next_b:
+                        got = False
+                    elif next_a == next_b == 1 << 60:
+                        break
+                    elif next_a <= next_b:
+                        i += 1
+                    else:
+                        j += 1
+            if len(self.stable) > 2 * MAX_STATES:
                 self.stable.clear()
-            want = [right] if left < 0 else [left, right]
-            got = self.stable[left, right] = self.merged(b"".join(self.text_of[t] for t in want)) == want
+            self.stable[key] = got
         return got
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
+    def step(self, state: State, byte: int) -> tuple[State, int]:
         """The move from a state on a byte: the next state, and the last token of the prefix read."""
         alive, found = [], -1
-        for last, node in self.states[state]:
+        for place in state.places:
+            node = place & NODES
             nxt = self.children[node].get(byte)
             if nxt is None:
                 continue
-            alive.append((last, nxt))
+            alive.append(place - node + nxt)
             token = self.token[nxt]
-            if found < 0 <= token and self.is_stable(last, token):
+            if found < 0 <= token and self.is_stable((place >> NODE) - 1, token):
                 found = token
-        move = self.moves[state][byte] = (self.number((*alive, (found, 0))), found)
+        alive.append((found + 1) << NODE)
+        move = state[byte] = (self.state(tuple(alive)), found)
         return move
 
     def settled(self, ends: list[int], out: list[int]) -> None:
@@ -125,17 +173,16 @@ class Transducer:
             self._clear()
         out: list[int] = []
         ends: list[int] = []
-        state, moves = 0, self.moves
+        state = self.start
         for byte in word:
-            state, token = moves[state].get(byte) or self.step(state, byte)
+            state, token = state.get(byte) or self.step(state, byte)
             ends.append(token)
-            if len(ends) > WINDOW and len(self.states[state]) == 1:
+            if len(ends) > WINDOW and len(state.places) == 1:
                 self.settled(ends, out)
                 ends.clear()
                 if len(self.states) > MAX_STATES:
-                    kept = self.states[state]
                     self._clear()
-                    state, moves = self.number(kept), self.moves
+                    state = self.state(state.places)
         self.settled(ends, out)
         return tuple(out)
 
@@ -145,10 +192,11 @@ class Transducer:
         for p in pieces:
             got = words.get(p)
             if got is None:
-                got = self.run(p.encode())
+                got = self.older.get(p) or self.run(p.encode())
                 if len(p) < 64:
                     if len(words) >= MAX_WORDS:
-                        words.clear()
+                        self.older, self.words = words, {}
+                        words = self.words
                     words[p] = got
             out += got
         return out
@@ -166,18 +214,19 @@ class Decoder:
         text = machine.decode(tail + self.text_of[token])
         to = machine.getstate()[0]
         if len(self.moves) > MAX_STATES:
-            self.moves = {b"": {}}
+            self.moves = {b"": {}, tail: {}}
         self.moves.setdefault(to, {})
-        move = self.moves.setdefault(tail, {})[token] = (to, text)
+        move = self.moves[tail][token] = (to, text)
         return move
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Pieces of text as they become certain."""
-        tail = b""
+        tail, moves = b"", self.moves[b""]
         for t in ids:
-            tail, text = self.moves.get(tail, {}).get(t) or self.step(tail, t)
-            if text:
-                yield text
+            to, text = moves.get(t) or self.step(tail, t)
+            if to != tail:
+                tail, moves = to, self.moves[to]
+            yield text
         if tail:
             yield tail.decode("utf-8", "replace")
 
@@ -238,28 +287,35 @@ def decode_ids(ids: Iterable[int], path: str | None = None) -> str:
     return "".join(decoder(path).decode(ids))
 
 
-def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Every row with `ids`, the tokens of its whole text (null: none), as array<int>; a column of that name is replaced. No shuffle."""
+def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, round_trip: bool = False) -> DataFrame:
+    """Every row with `ids`, the tokens of its whole text (null: none), as array<int>. No shuffle.
+
+    `round_trip` adds `decoded`, the text that the ids decode to, in the same
+    pass. Columns of these names are replaced.
+    """
     ship(docs.sparkSession)
-    docs = docs.drop("ids")
+    docs = docs.drop("ids", "decoded")
+    names = ["ids", "decoded"][: 1 + round_trip]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where, start, texts = batch.schema.get_field_index(text_col), 0, []
-            offsets, flat, chars = [0], [], 0
-            texts = batch.column(where)
+            texts, start, offsets, flat, back, chars = batch.column(batch.schema.get_field_index(text_col)), 0, [0], [], [], 0
             for i in range(len(texts)):
                 text = texts[i].as_py()
-                flat += encode_text(text, path)
+                ids = encode_text(text, path)
+                if round_trip:
+                    back.append(decode_ids(ids, path))
+                flat += ids
                 offsets.append(len(flat))
                 chars += len(text or "")
                 if chars >= BATCH_CHARS or i == len(texts) - 1:
-                    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
                     part = batch.slice(start, i + 1 - start)
-                    yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*batch.schema.names, "ids"])
-                    start, offsets, flat, chars = i + 1, [0], [], 0
+                    new = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())), pa.array(back, pa.string())]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *new[: len(names)]], names=[*batch.schema.names, *names])
+                    start, offsets, flat, back, chars = i + 1, [0], [], [], 0
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False))]))
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added[: len(names)]]))
 
 
 def decode(tokens: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:

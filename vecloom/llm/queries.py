@@ -18,8 +18,7 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, encoded and decoded again."""
-    ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
-    both = bpe.decode(ids)
+    both = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), round_trip=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
