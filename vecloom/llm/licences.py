@@ -76,7 +76,7 @@ SPELLINGS = (
     ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("http", "https"), ("analyse", "analyze"), ("favour", "favor"),
 )
 #: A line whose first word is one of these is a copyright line.
-_COPYRIGHT = r"(?m)^[\x20\t*#/;-]*(?:copyright[\x20\t]*(?:\(c\)|©|[0-9])|\(c\)|©|all rights reserved)[^\n]*$"
+_COPYRIGHT = r"(?md)^[\x20\t*#/;-]*(?:copyright[\x20\t]*(?:\(c\)|©|[0-9])|\(c\)|©|all rights reserved)[^\n]*$"
 #: Lines without it cannot equal a known notice (checked in `known`).
 MARK = r"(?i)licen[cs]e"
 
@@ -96,6 +96,8 @@ def digest(text: Column) -> Column:
 
 def known(spark: SparkSession, texts=KNOWN) -> DataFrame:
     """(_digest, _licence) of the known texts; as many rows as the list given has distinct forms. Of two licences with one form the first by name counts."""
+    if not texts:
+        return spark.createDataFrame([], "_digest string, _licence string")
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(t).alias("t")) for n, t in texts]))
     return spark.range(1, numPartitions=1).select(rows.alias("r")).select(digest(F.col("r.t")).alias("_digest"), F.col("r.n").alias("n")).groupBy("_digest").agg(F.min("n").alias("_licence"))
 
@@ -115,6 +117,6 @@ def scan(docs: DataFrame, text_col: str = "text", texts=KNOWN) -> DataFrame:
     lines = F.filter(F.split(F.col(text_col), "\n"), lambda s: s.rlike(MARK) | s.rlike(r"\bCC\b"))
     forms = F.transform(F.when(F.col(text_col).rlike(MARK + r"|\bCC\b"), lines), lambda s: digest(s))
     pairs = {r["_digest"]: r["_licence"] for r in known(spark, texts).collect()}  # one row for each known text
-    names = F.create_map(*[F.lit(x) for kv in sorted(pairs.items()) for x in kv]) if pairs else F.create_map().cast("map<string,string>")
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(forms, lambda d: F.element_at(names, d)), lambda n: n.isNotNull())))
+    names = F.create_map(*[F.lit(x) for kv in sorted((pairs or {"": ""}).items()) for x in kv])
+    found = F.array_sort(F.array_distinct(F.filter(F.transform(forms, lambda d: F.try_element_at(names, d)), lambda n: n.isNotNull())))
     return out.withColumn("notices", F.coalesce(F.array_join(found, ","), F.lit("")))

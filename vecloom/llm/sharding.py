@@ -52,9 +52,11 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 def lookup(spark, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """(_slot, shard): the filled table, of a fixed number of rows."""
+    if not shards:
+        return spark.createDataFrame([], "_slot long, shard string")
     owners = F.split(F.lit(",".join(map(str, fill(tuple(shards), slots)))), ",").cast("array<int>")
     names = F.split(F.lit("\x01".join(shards)), "\x01")
-    return spark.range(slots if shards else 0, numPartitions=1).select(F.col("id").alias("_slot"), F.element_at(names, F.element_at(owners, (F.col("id") + 1).cast("int")) + 1).alias("shard"))
+    return spark.range(slots, numPartitions=1).select(F.col("id").alias("_slot"), F.element_at(names, F.element_at(owners, (F.col("id") + 1).cast("int")) + 1).alias("shard"))
 
 
 def place(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:

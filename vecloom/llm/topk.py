@@ -104,7 +104,7 @@ def gather(tiles: Tiles, k: int, batches: Iterator[tuple[np.ndarray, list[np.nda
             for i in range(whole.shape[0]):
                 own = np.unique(np.concatenate([p[i] for p in picks]))
                 own = own[cand[own] != tiles.ids[at.start + i]]
-                got = best[at.start + i] + [int(v) for v in whole[i, own]]
+                got = best[at.start + i] + [min(max(int(v), _LONG[0]), _LONG[1]) for v in whole[i, own]]
                 got.sort(reverse=True)
                 best[at.start + i] = got[:k]
     return best
@@ -128,12 +128,12 @@ def collect(tiles: Tiles, k: int, cutoffs: list[int | None], batches: Iterator[t
             begins = np.searchsorted(where, np.arange(at.stop - at.start + 1))
             for i in np.unique(where).tolist():
                 a, b = begins[i], begins[i + 1]
-                got = best.get(at.start + i, []) + [(-int(s), int(c)) for s, c in zip(score[a:b].tolist(), cand[col[a:b]].tolist())]
+                got = best.get(at.start + i, []) + [(-min(max(int(s), _LONG[0]), _LONG[1]), int(c)) for s, c in zip(score[a:b].tolist(), cand[col[a:b]].tolist())]
                 got.sort()
                 best[at.start + i] = got[:k]
     for i, got in best.items():
         for s, c in got:
-            yield int(tiles.ids[i]), c, min(max(-s, _LONG[0]), _LONG[1])
+            yield int(tiles.ids[i]), c, -s
 
 
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, scale: int = SCALE, lists: int = LISTS, block: int = BLOCK) -> DataFrame:
@@ -143,7 +143,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
     an id are candidates each. A query id that occurs with several vectors is
     asked once, with the least. Vectors that are null or hold null or non-finite
     components take no part, nor do rows without id; a missing component counts
-    as 0. Scores beyond a long are shown as its bound. With fewer than k
+    as 0. Scores beyond a long count as its bound. With fewer than k
     candidates all are returned; no queries or rows give an empty result.
     """
     spark = vectors.sparkSession
