@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -59,12 +60,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished queries now; it does so when the driver's references to them are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """Writes a table to the shared folder and reads it back: a cut lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    free_shuffles(spark)
     df.write.option("compression", codec).parquet(path)
     _scratch.append((spark, path))
+    free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

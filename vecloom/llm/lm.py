@@ -6,17 +6,10 @@ two. The weights are learned by expectation-maximisation on the counts of
 documents that were deleted from the estimates; the final estimates use all
 training documents.
 
-Counts go there and back instead of being broadcast or joined row by row:
-
-1. Texts are coded in chunks, one row each (word hashes, token indices), and
-   written out.
-2. Each chunk sends its own distinct words and pairs of words with their counts,
-   sorted, in blobs by range of the hash; a range sums the counts of all chunks
-   and returns to each the sums of what it had sent, in its order. A frequent
-   word or pair is one entry per chunk, so there is no hot key.
-3. With its counts back, each chunk gives a histogram of its deleted tokens'
-   three estimates; EM runs on the sum of these, whose size is bounded by the
-   grid. Then each chunk scores its documents.
+Texts are coded in chunks and counts go there and back (see chunks): with the
+counts of its own words and pairs of words over the whole corpus, each chunk
+gives a histogram of its deleted tokens' three estimates, EM runs on the sum of
+these, whose size is bounded by the grid, and each chunk scores its documents.
 """
 from __future__ import annotations
 
@@ -25,18 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored
-from .jaccard_join import _finish, word_hashes
+from .chunks import SENT, Texts, bits_for, coded, finish, returned, sent, sums_of, unpack
+from .common import free_shuffles, ship, stored
 
 #: Documents whose crc32(id) % FOLDS is HELD_OUT are not learned from; those where it is DELETED give the held-out counts of EM.
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
-#: Bytes of text in a chunk; sent entries in a range of the hash.
-CHUNK, RANGE = 24 << 20, 1_500_000
+#: Bytes of text in a chunk: larger ones send fewer pairs, smaller ones need less memory.
+CHUNK = 10 << 20
 #: Cells per factor of two of the grid of estimates, and rounds of EM.
 GRID, ROUNDS = 4, 40
 #: Hashes that stand for the end and the start of a text.
@@ -48,69 +39,26 @@ def fold(doc_id) -> int:
     return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % FOLDS
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(a).tobytes())
-
-
-def _unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
-
-
-def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per chunk: its key, the documents' ids, folds and lengths, its words' hashes and its tokens as indices of these. Word 0 is the end of a text."""
-
-    def row(seq: int, ids: list, lens: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
-        h, n = np.concatenate(hashes), np.concatenate(lens)
-        words, token = np.unique(h, return_inverse=True)
-        order = np.argsort(-np.bincount(token, minlength=len(words)), kind="stable")  # frequent words get small indices
-        rank = np.empty(len(words), np.int64)
-        rank[order] = np.arange(1, len(words) + 1)
-        key = (TaskContext.get().partitionId() << 31) + seq
-        folds = np.array([fold(i) for i in ids], np.uint8)
-        cells = [[key], [ids], [_pack(folds)], [_pack(n.astype(np.uint32))], [_pack(np.r_[END, words[order]])], [_pack(rank[token].astype(np.uint32))], [int((n + 1)[folds != HELD_OUT].sum())]]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds)], names=["chunk", "ids", "folds", "lens", "words", "tokens", "trained"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq, ids, lens, hashes, size = 0, [], [], [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = batch.column(1)
-            h, n = word_hashes(texts)
-            ids += batch.column(0).to_pylist()
-            lens.append(n)
-            hashes.append(h)
-            size += texts.nbytes
-            if size >= CHUNK:
-                yield row(seq, ids, lens, hashes)
-                seq, ids, lens, hashes, size = seq + 1, [], [], [], 0
-        if ids:
-            yield row(seq, ids, lens, hashes)
-
-    schema = "chunk long, ids array<bigint>, folds binary, lens binary, words binary, tokens binary, trained long"
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
-
-
-class Chunk:
-    """A chunk's tokens with the end of each text, their predecessors, and its distinct pairs."""
+class Chunk(Texts):
+    """A chunk's tokens with the end of each text (word 0), their predecessors, and its distinct pairs."""
 
     def __init__(self, row: dict):
-        self.ids, self.folds, self.n = row["ids"], _unpack(row["folds"], np.uint8), _unpack(row["lens"], np.uint32).astype(np.int64)
-        self.words, tokens = _unpack(row["words"], np.uint64), _unpack(row["tokens"], np.uint32).astype(np.int64)
+        super().__init__(row)
+        self.words, tokens = np.r_[END, self.words], self.tokens + 1
+        self.folds = np.array([fold(i) for i in self.ids], np.uint8)
         at = np.cumsum(self.n + 1) - 1
-        self.token = np.zeros(len(tokens) + len(self.n), np.int64)
+        self.token = np.zeros(len(tokens) + len(self.n), np.int32)
         real = np.ones(len(self.token), bool)
         real[at] = False
-        self.token[real] = tokens
-        self.doc = np.repeat(np.arange(len(self.n)), self.n + 1)
-        self.before = np.r_[0, self.token[:-1]]
+        self.token[real] = tokens  # fewer than 2^31 words in a chunk
+        self.doc = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n + 1)
+        self.before = np.r_[np.int32(0), self.token[:-1]]
         self.before[np.r_[0, at[:-1] + 1]] = len(self.words)  # the start of a text
-        key = self.before * len(self.words) + self.token
-        pair, self.pair = np.unique(key, return_inverse=True)
+        pair, self.pair = np.unique(self.before.astype(np.int64) * len(self.words) + self.token, return_inverse=True)
+        self.pair = self.pair.astype(np.int32)
         names = np.r_[self.words, START]
         with np.errstate(over="ignore"):
-            hashed = _finish(names[pair // len(self.words)] * _K[0] + names[pair % len(self.words)] * _K[1])
+            hashed = finish(names[pair // len(self.words)] * _K[0] + names[pair % len(self.words)] * _K[1])
         self.pair_order = np.argsort(hashed)
         self.pair_hash = hashed[self.pair_order]
         self.word_order = np.argsort(self.words)
@@ -124,39 +72,16 @@ class Chunk:
 
 
 def send(chunks: DataFrame, bits: int) -> DataFrame:
-    """(kind, range, chunk, keys, all, deleted): kind 0 for words, 1 for pairs."""
+    """Blobs of kind 0 for words, 1 for pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 c = Chunk(row)
                 for kind, keys, index, order in ((0, c.word_hash, c.token, c.word_order), (1, c.pair_hash, c.pair, c.pair_order)):
-                    every, gone = c.counts(index, order)
-                    part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-                    begins = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(keys)]):
-                        cells = [[kind], [int(part[a])], [row["chunk"]], [keys[a:b].tobytes()], [_pack(every[a:b])], [_pack(gone[a:b])]]
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["kind", "range", "chunk", "keys", "every", "gone"])
-
-    return chunks.mapInArrow(run, "kind int, range long, chunk long, keys binary, every binary, gone binary")
-
-
-def total(sent: DataFrame) -> DataFrame:
-    """(chunk, kind, range, every, gone, distinct): for each blob the sums over all chunks, in its order; distinct is the range's number of trained keys."""
-    kinds = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("range", pa.int64()), ("every", pa.binary()), ("gone", pa.binary()), ("distinct", pa.int64())])
+                    yield from sent(row["chunk"], kind, keys, list(c.counts(index, order)), bits)
 
-    def run(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
-        ends = np.cumsum([len(k) for k in keys])[:-1]
-        _, where = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = {}
-        for name in ("every", "gone"):
-            sums[name] = np.bincount(where, np.concatenate([_unpack(b, np.uint32) for b in table[name].to_pylist()])).astype(np.uint64)
-        back = {n: [_pack(p) for p in np.split(s[where], ends)] for n, s in sums.items()}
-        n = len(keys)
-        return pa.table([table["chunk"], table["kind"], table["range"], pa.array(back["every"], pa.binary()), pa.array(back["gone"], pa.binary()), pa.array([int((sums["every"] > 0).sum())] * n, pa.int64())], schema=kinds)
-
-    return sent.groupBy("kind", "range").applyInArrow(run, "chunk long, kind int, range long, every binary, gone binary, distinct long")
+    return chunks.mapInArrow(run, SENT)
 
 
 class Counted(Chunk):
@@ -165,10 +90,9 @@ class Counted(Chunk):
     def __init__(self, row: dict, back: list[dict]):
         super().__init__(row)
         for kind, name, order in ((0, "word", self.word_order), (1, "pair", self.pair_order)):
-            mine = sorted((r for r in back if r["kind"] == kind), key=lambda r: r["range"])
-            for what in ("every", "gone"):
+            for which, what in enumerate(("every", "gone")):
                 got = np.empty(len(order), np.int64)
-                got[order] = np.concatenate([_unpack(r[what], np.uint64) for r in mine]).astype(np.int64)
+                got[order] = sums_of(back, kind, which)
                 setattr(self, f"{name}_{what}", got)
 
     def estimates(self, n: int, texts: int, fitted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,23 +142,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     spark = docs.sparkSession
     ship(spark)
-    chunks = stored(coded(docs, id_col, text_col), "chunks")
-    size = chunks.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0)).alias("b"), F.coalesce(F.sum("trained"), F.lit(0)).alias("n")).first()
-    n = int(size["n"])
-    bits = max(0, int(2 * size["b"] / RANGE).bit_length())
-    back = stored(total(send(chunks, bits)), "counts")
-    stats = back.filter("kind = 0").groupBy("range").agg(F.first("distinct").alias("d")).agg(F.coalesce(F.sum("d"), F.lit(0)).alias("v")).first()
-    v = int(stats["v"])
-
+    chunks = stored(coded(docs, id_col, text_col, CHUNK), "chunks")
     def folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                f, lens = _unpack(r["folds"], np.uint8), _unpack(r["lens"], np.uint32).astype(np.int64) + 1
-                yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in ((f != HELD_OUT).sum(), (f == DELETED).sum(), lens[f == DELETED].sum())], names=["t", "dt", "dn"])
-
-    texts = chunks.select("folds", "lens").mapInArrow(folds, "t long, dt long, dn long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("t", "dt", "dn")]).first()
+                f, lens = np.array([fold(i) for i in r["ids"]]), unpack(r["lens"], np.uint32).astype(np.int64) + 1
+                yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in (lens.sum(), lens[f != HELD_OUT].sum(), lens[f == DELETED].sum(), (f != HELD_OUT).sum(), (f == DELETED).sum())], names=["all", "n", "dn", "t", "dt"])
+
+    sums = chunks.select("ids", "lens").mapInArrow(folds, "all long, n long, dn long, t long, dt long")
+    size = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums.columns]).first()
+    n, all_texts = int(size["n"]), int(size["t"])
+    fit_n, fit_texts = n - int(size["dn"]), all_texts - int(size["dt"])
+    back = stored(returned(send(chunks, bits_for(int(size["all"])))), "counts")
+    known = back.filter("kind = 0").groupBy("range").agg(F.first("distinct").alias("d")).agg(F.coalesce(F.sum("d"), F.lit(0)).alias("v")).first()
+    v = int(known["v"])
     uniform = 1.0 / (v + 1)
-    fit_n, fit_texts, all_texts = n - int(texts["dn"]), int(texts["t"]) - int(texts["dt"]), int(texts["t"])
 
     def together(run, schema: str) -> DataFrame:
         return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(lambda a, b: run(Counted(a.to_pylist()[0], b.to_pylist())), schema)
@@ -245,7 +167,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         cells, times = np.unique(np.stack([bucket(context[d]), _cell(two[d], uniform), _cell(one[d], uniform)], 1), axis=0, return_counts=True) if d.any() else (np.empty((0, 3), np.int64), np.empty(0, np.int64))
         return pa.table([*[pa.array(cells[:, i].astype(np.int64)) for i in range(3)], pa.array(times.astype(np.int64))], names=["b", "two", "one", "times"])
 
-    seen = together(histogram, "b long, two long, one long, times long").groupBy("b", "two", "one").agg(F.sum("times").alias("times"))
+    seen = stored(together(histogram, "b long, two long, one long, times long").groupBy("b", "two", "one").agg(F.sum("times").alias("times")), "estimates")
     weights = learn([tuple(r) for r in seen.collect()])  # at most buckets x cells x cells rows
     table = np.array([weights.get(max((b for b in weights if b <= k), default=min(weights, default=-1)), (1 / 3, 1 / 3, 1 / 3)) for k in range(66)])
 
@@ -259,5 +181,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
+    del seen
+    free_shuffles(spark)
     out = together(result, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
