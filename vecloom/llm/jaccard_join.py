@@ -6,10 +6,12 @@ the |S| - ceil(t|S|) + 1 first of each, in any order that is fixed for all; the
 order used puts shingles that many documents hold last, so passages that are
 common to unrelated documents bring no candidates together.
 
-1. One pass finds each document's class and the shingles that are frequent.
-2. One pass emits prefix shingles, at most one row per shingle and batch (the
-   other holders are tied to it by an edge at once), so a hot shingle has as many
-   rows as there are batches. Holders of one shingle are tied to its first holder.
+1. Texts are coded in chunks; the number of holders of each shingle goes there
+   and back (see chunks).
+2. Each chunk emits the prefix shingles that others hold too, at most one row per
+   shingle (its other holders are tied to the one named by an edge at once), so a
+   hot shingle has as many rows as there are chunks. Holders of one shingle are
+   tied to its first holder.
 3. Connected components of these ties are blocks: every link lies within one.
 4. In each block, or each pair of parts of a large one, T-occurrence search by
    DivideSkip finds the links: the longest inverted lists are put aside, the
@@ -19,8 +21,7 @@ common to unrelated documents bring no candidates together.
    and never all its pairs.
 5. Components of the links, then the smallest id in each.
 
-Nothing here is collected to the driver but the list of the most frequent
-shingles, whose length is fixed and on which speed alone depends.
+Nothing here is collected to the driver or broadcast.
 """
 from __future__ import annotations
 
@@ -32,16 +33,14 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import SENT, Texts, bits_for, coded, finish, returned, sent, sums_of
 from .common import ship, stored
 
 WIDTH, PERCENT = 4, 85
-#: A shingle held by so many sets of one batch may be frequent; of those the most frequent FREQUENT are put last in the order.
-FREQUENT_IN_BATCH, FREQUENT = 8, 200_000
 #: Shingles in a part of a block: two parts are searched at a time.
 PART = 2_000_000
 #: Above so many entries the short lists are merged by sorting instead of a heap.
@@ -51,39 +50,21 @@ MU = 0.02
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def _finish(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, A-Z lower-cased, and the number of words of each text. A null text has none."""
-    low = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    lists = pc.ascii_split_whitespace(low)
-    words, doc = lists.flatten(), np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
-    real = pc.not_equal(pc.binary_length(words), 0)
-    coded = pc.dictionary_encode(words.filter(real))
-    table = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return table[coded.indices.to_numpy()] if len(table) else np.empty(0, np.uint64), np.bincount(doc[real.to_numpy(zero_copy_only=False)], minlength=len(texts))
-
-
-def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; the whole sequence where it has fewer words; empty without words."""
-    h, n = word_hashes(texts)
+def shingle_sets(h: np.ndarray, n: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text, from its words' hashes; the whole sequence where it has fewer words; empty without words."""
     ends = np.cumsum(n)
     with np.errstate(over="ignore"):
         total = max(0, len(h) - width + 1)
         mixed = np.zeros(total, np.uint64)
         for k in range(width):
             mixed += h[k : k + total] * _MIX[k % 4] + np.uint64(k // 4)
-        mixed = _finish(mixed)
+        mixed = finish(mixed)
         out = []
         for end, count in zip(ends.tolist(), n.tolist()):
             if count >= width:
                 out.append(np.unique(mixed[end - count : end - width + 1]))
             elif count:
-                out.append(_finish((h[end - count : end] * _MIX[:count]).sum(keepdims=True, dtype=np.uint64) + np.uint64(count)))
+                out.append(finish((h[end - count : end] * _MIX[np.arange(count) % 4]).sum(keepdims=True, dtype=np.uint64) + np.uint64(count)))
             else:
                 out.append(np.empty(0, np.uint64))
     return out
@@ -95,37 +76,59 @@ def class_of(s: np.ndarray) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
-def _ints(*cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in cols], names=list("kabn")[: len(cols)])
+class Sets(Texts):
+    """A chunk's shingle sets, their classes, and each class once."""
+
+    def __init__(self, row: dict, width: int):
+        super().__init__(row)
+        self.sets = shingle_sets(self.words[self.tokens] if len(self.words) else self.words, self.n, width)
+        self.classes = [class_of(s) for s in self.sets]
+        self.once = {c: s for c, s in zip(self.classes, self.sets) if len(s)}
 
+    def held(self) -> tuple[np.ndarray, np.ndarray]:
+        """The chunk's shingles, sorted, and the classes that hold each."""
+        return np.unique(np.concatenate(list(self.once.values())), return_counts=True) if self.once else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
-def survey(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """k=0: (id, class, size of the set) of each document; k=1: (shingle, holders in a batch, 0) of those that may be frequent."""
 
+def send(chunks: DataFrame, bits: int, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(1), width)
-            classes = [class_of(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int64()), batch.column(0), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=list("kabn"))
-            once = list(dict(zip(classes, sets)).values())
-            tokens, times = np.unique(np.concatenate(once), return_counts=True) if once else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            hot = times >= FREQUENT_IN_BATCH
-            if hot.any():
-                yield _ints(np.ones(hot.sum()), tokens[hot].view(np.int64), times[hot], np.zeros(hot.sum()))
+            for row in batch.to_pylist():
+                keys, times = Sets(row, width).held()
+                yield from sent(row["chunk"], 0, keys, [times], bits)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "k long, a long, b long, n long")
+    return chunks.mapInArrow(run, SENT)
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, times: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set in the common order: by frequency (0 for all but the frequent ones), then hash."""
+def prefix(s: np.ndarray, holders: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set in the common order, by holders and then by hash, without those that nobody else holds."""
     keep = len(s) - -(-percent * len(s) // 100) + 1
-    if len(frequent):
-        at = np.searchsorted(frequent, s)
-        at[at == len(frequent)] = 0
-        known = frequent[at] == s
-        if known.any():
-            return s[np.argsort(np.where(known, times[at], 0), kind="stable")[:keep]]
-    return s[:keep]
+    first = np.argsort(holders, kind="stable")[:keep]
+    return s[first[holders[first] > 1]]
+
+
+def prefixes(chunks: DataFrame, back: DataFrame, width: int, percent: int) -> DataFrame:
+    """k = 0: (shingle, class) of a prefix shingle; 1: (class, class) that one prefix shingle ties within the chunk; 2: (id, class, size, chunk) of a document."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        c = Sets(row, width)
+        keys, _ = c.held()
+        holders = sums_of(right.to_pylist(), 0, 0)
+        parts = [prefix(s, holders[np.searchsorted(keys, s)], percent) for s in c.once.values()]
+        token = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        cls = np.repeat(np.fromiter(c.once, np.int64, len(c.once)), [len(p) for p in parts])
+        order = np.lexsort((cls, token))
+        token, cls = token[order].view(np.int64), cls[order]
+        first, hub = _stars(token, cls)
+        pairs = np.unique(np.stack([cls[~first], hub[~first]], 1), axis=0)
+        kinds = np.repeat([0, 1, 2], [int(first.sum()), len(pairs), len(c.ids)])
+        a = pa.chunked_array([pa.array(token[first]), pa.array(pairs[:, 0]), pa.array(c.ids, pa.int64())])
+        b = np.r_[cls[first], pairs[:, 1], np.array(c.classes, np.int64)]
+        n = np.r_[np.zeros(len(kinds) - len(c.ids), np.int64), np.array([len(s) for s in c.sets], np.int64)]
+        return pa.table([pa.array(kinds, pa.int64()), a, pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(np.full(len(kinds), row["chunk"], np.int64))], names=["k", "a", "b", "n", "chunk"])
+
+    return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(run, "k long, a long, b long, n long, chunk long")
 
 
 def _stars(token: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,26 +137,8 @@ def _stars(token: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, cls[np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))] if len(token) else cls
 
 
-def ties(docs: DataFrame, text_col: str, frequent: tuple[np.ndarray, np.ndarray], width: int, percent: int) -> DataFrame:
-    """(a, b): pairs of classes that tie the holders of each prefix shingle together; distinct."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, times = shared.value
-        for batch in batches:
-            once = {class_of(s): s for s in shingle_sets(batch.column(0), width) if len(s)}
-            if not once:
-                continue
-            parts = [prefix(s, hot, times, percent) for s in once.values()]
-            token, cls = np.concatenate(parts), np.repeat(np.fromiter(once, np.int64, len(once)), [len(p) for p in parts])
-            order = np.lexsort((cls, token))
-            token, cls = token[order].view(np.int64), cls[order]
-            first, hub = _stars(token, cls)
-            pairs = np.unique(np.stack([cls[~first], hub[~first]], 1), axis=0)
-            yield _ints(np.zeros(first.sum()), token[first], cls[first])
-            if len(pairs):
-                yield _ints(np.ones(len(pairs)), pairs[:, 0], pairs[:, 1])
+def ties(rows: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes that tie the holders of each prefix shingle together; distinct. `rows`: (k, a, b) of `prefixes`."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # token and first class of the rows before
@@ -170,7 +155,6 @@ def ties(docs: DataFrame, text_col: str, frequent: tuple[np.ndarray, np.ndarray]
             pairs = np.unique(np.stack([np.r_[a[done], cls[other]], np.r_[b[done], hub[other]]], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    rows = docs.select(text_col).mapInArrow(emit, "k long, a long, b long")
     return rows.repartition("a").sortWithinPartitions("k", "a", "b").mapInArrow(gather, "a long, b long").distinct()
 
 
@@ -193,7 +177,7 @@ class Search:
 
     def __init__(self, sets: list[np.ndarray], percent: int = PERCENT, sides: np.ndarray | None = None):
         self.percent, self.n, self.sides = percent, np.array([len(s) for s in sets]), sides
-        self.comp = np.arange(len(sets))
+        self.comp, self.smallest = np.arange(len(sets)), int(self.n.min())
         self.members = {i: [i] for i in range(len(sets))}
         _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(len(sets)), self.n)
@@ -218,7 +202,9 @@ class Search:
 
     def matches(self, x: int) -> list[int]:
         """Sets outside x's component that are similar enough to x, by DivideSkip."""
-        need = -(-self.percent * int(self.n[x]) // 100)
+        size, p = int(self.n[x]), self.percent
+        smallest = max(-(-p * size // 100), self.smallest)  # of the sets that can be similar
+        need = -(-p * (size + smallest) // (100 + p))
         held = self.held[self.at[x] : self.at[x + 1]]
         if len(held) < need:
             return []
@@ -227,25 +213,40 @@ class Search:
         aside = min(need - 1, int(need / (MU * log2(max(2, int(lengths.max()))) + 1)))
         lists = [self.owner[self.starts[t] : self.starts[t + 1]] for t in held.tolist()]
         short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-        least = need - len(long)
-        if sum(map(len, short)) <= HEAP:
-            found = [(y, c) for y, g in groupby(merge(*[s.tolist() for s in short])) if (c := sum(1 for _ in g)) >= least]
-        else:
-            ids, times = np.unique(np.concatenate(short), return_counts=True)
-            found = list(zip(ids[times >= least].tolist(), times[times >= least].tolist()))
+        if sum(map(len, short)) > HEAP:
+            return self._merged_by_sorting(x, need, short, long)
         out = []
-        for y, common in found:
-            if self.comp[y] == self.comp[x] or (self.sides is not None and self.sides[y] == self.sides[x]):
+        for y, g in groupby(merge(*[s.tolist() for s in short])):
+            common = sum(1 for _ in g)
+            if common < need - len(long) or self.comp[y] == self.comp[x] or (self.sides is not None and self.sides[y] == self.sides[x]):
                 continue
+            wanted = -(-p * (size + int(self.n[y])) // (100 + p))
             for left, s in zip(range(len(long), 0, -1), long):
-                if common + left < need:
+                if common + left < wanted:
                     break
                 k = bisect_left(s, y)
                 common += k < len(s) and s[k] == y
-            if 100 * common >= self.percent * (int(self.n[x]) + int(self.n[y]) - common):
+            if common >= wanted:
                 out.append(y)
         return out
 
+    def _merged_by_sorting(self, x: int, need: int, short: list[np.ndarray], long: list[np.ndarray]) -> list[int]:
+        """The same for many entries: one sort merges the short lists, and all candidates probe a long list at once."""
+        y, common = np.unique(np.concatenate(short), return_counts=True)
+        keep = (common >= need - len(long)) & (self.comp[y] != self.comp[x])
+        if self.sides is not None:
+            keep &= self.sides[y] != self.sides[x]
+        y, common = y[keep], common[keep]
+        wanted = -(-self.percent * (self.n[x] + self.n[y]) // (100 + self.percent))
+        for left, s in zip(range(len(long), 0, -1), long):
+            if left % 8 == 0 or left == len(long):
+                alive = common + left >= wanted
+                y, common, wanted = y[alive], common[alive], wanted[alive]
+                if not len(y):
+                    return []
+            common += s[np.minimum(np.searchsorted(s, y), len(s) - 1)] == y
+        return y[common >= wanted].tolist()
+
     def union(self, x: int, y: int) -> None:
         a, b = self.comp[x], self.comp[y]
         if a == b:
@@ -254,7 +255,7 @@ class Search:
             a, b = b, a
         self.comp[self.members[b]] = a
         self.members[a] += self.members.pop(b)
-        if len(self.members[a]) > len(self.members[self.largest]):
+        if self.largest == b or len(self.members[a]) > len(self.members[self.largest]):
             self.largest = a
 
     def run(self) -> np.ndarray:
@@ -322,30 +323,27 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     counts only if its component has no other. An empty table gives an empty
     result. Ids must be integers.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    seen = stored(survey(docs, id_col, text_col, width), "shingles")
-    rows = seen.filter("k = 0").select(F.col("a").alias("id"), F.col("b").alias("cls"), "n")
-    top = seen.filter("k = 1").groupBy("a").agg(F.sum("b").alias("b")).orderBy(F.desc("b"), "a").limit(FREQUENT).collect()
-    hot = np.array([r["a"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(hot)
-    blocks = components(ties(docs, text_col, (hot[order], np.array([r["b"] for r in top], np.int64)[order]), width, percent))
-
-    held = rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    held = held.join(blocks, F.col("cls") == F.col("node")).select("id", "cls", "n", F.col("root").alias("block"))
+    ship(docs.sparkSession)
+    chunks = stored(coded(docs, id_col, text_col), "chunks")
+    entries = chunks.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0]  # about two bytes for each token
+    back = stored(returned(send(chunks, bits_for(int(entries) // 2), width)), "holders")
+    seen = stored(prefixes(chunks, back, width, percent), "prefixes")
+    rows = seen.filter("k = 2").select(F.col("a").alias("id"), F.col("b").alias("cls"), "n", "chunk")
+    blocks = components(ties(seen.filter("k < 2").select("k", "a", "b")))
+
+    held = rows.filter("n > 0").groupBy("cls").agg(F.min("chunk").alias("chunk"), F.first("n").alias("n"))
+    held = held.join(blocks, F.col("cls") == F.col("node")).select("chunk", "cls", "n", F.col("root").alias("block"))
     parts = held.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(PART / 2)).cast("int").alias("parts"))
     parts = parts.select("block", F.when(F.col("parts") <= 4, 1).otherwise(F.col("parts")).alias("parts"))
-    held = stored(held.join(parts, "block"), "held")
+    held = stored(held.join(parts, "block").select("chunk", "cls", "block", "parts"), "held")
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column(3), width)
-            same = np.array([class_of(s) == c for s, c in zip(sets, batch.column(0).to_pylist())], bool)  # a repeated id may have another text
-            out = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "block", "parts", "tokens"])
-            yield out.filter(pa.array(same))
+    def sets_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        wanted = right.select(["cls", "block", "parts"])
+        once = Sets(left.to_pylist()[0], width).once if len(wanted) else {}
+        return wanted.append_column("tokens", pa.array([once[c].tobytes() for c in wanted["cls"].to_pylist()], pa.binary()))
 
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(held, "id").select("cls", "block", "parts", "text")
-    found = found.mapInArrow(sets_of, "cls long, block long, parts int, tokens binary").withColumn("side", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    found = chunks.join(held.select("chunk").distinct(), "chunk", "left_semi").groupBy("chunk").cogroup(held.groupBy("chunk")).applyInArrow(sets_of, "cls long, block long, parts int, tokens binary")
+    found = found.withColumn("side", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     cells = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = cells.select("block", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "cls", "tokens")
     links = stored(link_cells(cells, percent), "links")
