@@ -358,6 +358,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The documents without those whose component has a smaller id; documents without words all stay."""
-    best = join(docs, id_col, text_col, **kw).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_best")).distinct()
-    return docs.join(best, F.col(id_col).cast("long") == F.col("_best"), "left_semi")
+    """One row of each component: that of the smallest id, a null id last, and of rows that repeat this id one. Rows without words all stay.
+
+    Rows are told apart by a key of their own, written out with them so that it is the same in every pass. The column name _row is reserved.
+    """
+    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    found = join(keyed.select("_row", F.col(text_col).alias("text")), "_row", "text", **kw)
+    rows = found.join(keyed.select("_row", F.col(id_col).alias("_id")), "_row")
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))
+    best = rows.filter("n_shingles > 0").groupBy("component_id").agg(first.alias("first")).select("first._row")
+    return keyed.join(best.union(rows.filter("n_shingles = 0").select("_row")), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
