@@ -23,8 +23,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links of 85 % of their 4-word shingles lead together the one of the smallest id stays."""
-    return jaccard_join.keep_one(docs)
+    """Of the documents that links of 80 % of their 5-word shingles lead together the one of the smallest id stays."""
+    return jaccard_join.keep_one(docs, width=5, percent=80)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
