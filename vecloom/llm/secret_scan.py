@@ -2,8 +2,10 @@
 
 Fixed patterns find assignments, access keys and long hex runs. Two first-order
 character Markov models, one of random strings and one of ordinary identifiers,
-both trained from labelled samples, then judge every other long token: it is a
-secret if the log-likelihood ratio per character reaches the threshold.
+both trained from labelled samples, then judge what the patterns leave of every
+long token: it is a secret if the log-likelihood ratio per character reaches the
+threshold. What is none as a whole is judged again in pieces, between / and = and
+then between + _ and - too.
 
 DataFrame functions only. A match's place comes from the lengths of the pieces
 between matches, so it costs two passes of the pattern over texts that have one.
@@ -22,8 +24,10 @@ _ASSIGN = (
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
 _ACCESS, _HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
-#: Maximal runs of token characters of this length or more are judged by the models.
+#: Runs of token characters of this length or more, and pieces of runs, are judged by the models whatever they hold.
 MIN_TOKEN = 20
+#: From this length on they are judged if they hold a letter and a digit: so few letters alone do not tell a key from a word.
+MIN_MIXED = 12
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Symbols: the alphabet from 1, 0 for the start of a token.
 K = len(ALPHABET) + 1
@@ -118,6 +122,25 @@ def _found(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
 
 
+def _left(run: Column, spans: Column) -> Column:
+    """array<struct<start,stop,match>>: what the spans leave of a run, in order."""
+    piece = "array<struct<start:long,stop:long,match:string>>"
+    over = F.filter(spans, lambda b: (b["start"] < run["stop"]) & (run["start"] < b["stop"]))
+
+    def cut(at: Column, stop: Column) -> Column:
+        match = F.substr(run["match"], (at - run["start"] + 1).cast("int"), (stop - at).cast("int"))
+        return F.when(at < stop, F.array(F.struct(at.alias("start"), stop.alias("stop"), match.alias("match")))).otherwise(F.array().cast(piece))
+
+    start = F.struct(run["start"].alias("at"), F.array().cast(piece).alias("out"))
+    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["stop"]).alias("at"), F.concat(acc["out"], cut(acc["at"], b["start"])).alias("out"))
+    return F.aggregate(F.array_sort(over), start, step, lambda acc: F.concat(acc["out"], cut(acc["at"], run["stop"])))
+
+
+def _pieces(token: Column, pattern: str) -> Column:
+    """The matches of a pattern in a token, placed in the text."""
+    return F.transform(_found(token["match"], pattern), lambda x: F.struct((token["start"] + x["start"]).alias("start"), (token["start"] + x["stop"]).alias("stop"), x["match"].alias("match")))
+
+
 def _tagged(found: Column, kind: str) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["stop"].alias("stop")))
 
@@ -141,11 +164,19 @@ def scan(docs: DataFrame, text_col: str = "text", samples: DataFrame | None = No
     text = F.coalesce(F.col(text_col), F.lit(""))
     assign = F.filter(_found(text, _ASSIGN), lambda x: F.length(F.regexp_extract(x["match"], _ASSIGN, 2)) >= 12)
     out = docs.withColumn("_base", F.concat(_tagged(assign, "assign"), _tagged(_found(text, _ACCESS), "access"), _tagged(_found(text, _HEX), "hex")))
-    tokens = _found(text, rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}")
+    tokens = _found(text, rf"[A-Za-z0-9+/_=-]{{{MIN_MIXED},}}")
     base = F.col("_base")
-    apart = F.filter(tokens, lambda t: ~F.exists(base, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
     score = lambda t: F.aggregate(pairs(t["match"]), F.lit(0.0), lambda s, k: s + F.element_at(ratios, (k + 1).cast("int"))) / F.length(t["match"])
-    return out.withColumn("_spans", F.concat(base, _tagged(F.filter(apart, lambda t: score(t) >= F.lit(threshold)), "markov")))
+    long = lambda t: (F.length(t["match"]) >= MIN_TOKEN) | ((F.length(t["match"]) >= MIN_MIXED) & t["match"].rlike("[0-9]") & t["match"].rlike("[A-Za-z]"))
+    judged = lambda found: F.transform(found, lambda t: t.withField("hit", F.when(long(t), score(t) >= F.lit(threshold)).otherwise(False)))
+    out = out.withColumn("_tokens", F.flatten(F.transform(tokens, lambda t: _left(t, base)))).withColumn("_models", F.array().cast("array<struct<start:long,kind:int,stop:long>>"))
+    for pattern in (None, "[^/=]+", "[^/=+_-]+"):
+        if pattern:
+            rest = F.filter("_tokens", lambda t: ~t["hit"] & t["match"].rlike("[/=+_-]"))
+            out = out.withColumn("_tokens", F.flatten(F.transform(rest, lambda t: _pieces(t, pattern))))
+        out = out.withColumn("_tokens", judged(F.col("_tokens")))
+        out = out.withColumn("_models", F.concat("_models", _tagged(F.filter("_tokens", lambda t: t["hit"]), "markov")))
+    return out.withColumn("_spans", F.concat(base, "_models")).drop("_tokens", "_models")
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", **kw) -> DataFrame:
