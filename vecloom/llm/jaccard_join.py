@@ -260,17 +260,18 @@ class Search:
 
     def run(self) -> np.ndarray:
         """The component of each set. Every pair of sets in different components has been compared: one of them is outside the largest component and was looked up. The sets with the most common shingles come first, since what they link drops out of the lists."""
-        self.largest, put_off = next(iter(self.members), 0), []
-        for last in (False, True):
-            for x in put_off if last else np.argsort(-self.weight, kind="stable").tolist():
+        self.largest, waiting = next(iter(self.members), 0), np.argsort(-self.weight, kind="stable").tolist()
+        while waiting:
+            put_off = []
+            for x in waiting:
                 if self.comp[x] == self.largest and len(self.members[self.largest]) > 1:
-                    if not last:
-                        put_off.append(x)
+                    put_off.append(x)
                     continue
                 for y in self.matches(x):
                     self.union(x, y)
                 if 2 * len(self.members) <= self.indexed_for and self.indexed_for > 16:
                     self._index(self.token, self.owner)
+            waiting = put_off if any(self.comp[x] != self.largest for x in put_off) else []  # the largest can have changed meanwhile
         return self.comp
 
 
