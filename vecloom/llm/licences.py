@@ -3,7 +3,7 @@
 A text is brought into a canonical form (case, punctuation, copyright lines and
 equivalent spellings removed) and the digest of its whole form is looked up, by
 a hash join, among the digests of the known licences' forms. The same lookup is
-made for each whole line that can hold a notice. DataFrame functions only.
+made for each whole line. DataFrame functions only.
 """
 from __future__ import annotations
 
@@ -77,7 +77,7 @@ SPELLINGS = (
 )
 #: A line whose first word is one of these is a copyright line.
 _COPYRIGHT = r"(?md)^[\x20\t*#/;-]*(?:copyright[\x20\t]*(?:\(c\)|©|[0-9])|\(c\)|©|all rights reserved)[^\n]*$"
-#: Lines without it cannot equal a known notice (checked in `known`).
+#: What the SQL counterpart asks of a line before it looks it up; `scan` looks up every line.
 MARK = r"(?i)licen[cs]e"
 
 
@@ -114,8 +114,7 @@ def scan(docs: DataFrame, text_col: str = "text", texts=KNOWN) -> DataFrame:
     docs = docs.drop("digest", "licence", "notices")
     table = F.broadcast(known(spark, texts))
     out = docs.withColumn("digest", digest(F.col(text_col))).join(table, F.col("digest") == F.col("_digest"), "left").withColumnRenamed("_licence", "licence").drop("_digest")
-    lines = F.filter(F.split(F.col(text_col), "\n"), lambda s: s.rlike(MARK) | s.rlike(r"\bCC\b"))
-    forms = F.transform(F.when(F.col(text_col).rlike(MARK + r"|\bCC\b"), lines), lambda s: digest(s))
+    forms = F.transform(F.filter(F.split(F.col(text_col), "\n"), lambda s: s != ""), lambda s: digest(s))
     pairs = {r["_digest"]: r["_licence"] for r in known(spark, texts).collect()}  # one row for each known text
     names = F.create_map(*[F.lit(x) for kv in sorted((pairs or {"": ""}).items()) for x in kv])
     found = F.array_sort(F.array_distinct(F.filter(F.transform(forms, lambda d: F.try_element_at(names, d)), lambda n: n.isNotNull())))
