@@ -77,10 +77,38 @@ SPELLINGS = (
 )
 #: A line whose first word is one of these is a copyright line.
 _COPYRIGHT = r"(?md)^[\x20\t*#/;-]*(?:copyright[\x20\t]*(?:\(c\)|©|[0-9])|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line that names a holder after the word alone, or a place for the year; looked for where a text with such lines is not known as it is.
+_HOLDER = r"(?md)^[\x20\t*#/;-]*(?:Copyright|COPYRIGHT):?[\x20\t]+(?:by[\x20\t]+)?(?!(?i:holders?|owners?|notices?|laws?|licen[cs]es?|statements?|terms?|protection|interests?|rights?)\b)[<\[{\p{Lu}][^\n]{0,100}$"
 #: What the SQL counterpart asks of a line before it looks it up; `scan` looks up every line.
 MARK = r"(?i)licen[cs]e"
 
 
+#: (licence, digest) of whole texts that are too long to be written out here: as published, and up to the end of the terms.
+FULL = (
+    ("Apache-2.0", "769c7564f2af1e01d336559ded9f3ccc"),
+    ("Apache-2.0", "dd62a2e03b5b94cddd1a8c2f4c29d452"),
+    ("Apache-2.0", "9912651bdb8b98757189af7c36da6e85"),
+    ("GPL-1.0", "9a6d41337fa0145d93e534071bfae3f8"),
+    ("GPL-1.0", "78f3b35da3d393ee93ecfeb7d20907e6"),
+    ("GPL-2.0", "8e4925da11f68cc625b11b0a628fdcc5"),
+    ("GPL-2.0", "42f2f51f3e726d001525877e3528c3d0"),
+    ("GPL-3.0", "5eaa767cc0a56c87c3852144458a3bf1"),
+    ("GPL-3.0", "444f95dc767ede978b60cfb20fbd0bca"),
+    ("AGPL-3.0", "c5066c040b5587299b104ff08c2ea9db"),
+    ("AGPL-3.0", "29ef0b2e6f2f60075b8d5b36ee6d82e9"),
+    ("LGPL-2.0", "74cf7fcef3b29a39165a795b2cad3a3a"),
+    ("LGPL-2.0", "c396ba2f94537628797123bc12cd2d6e"),
+    ("LGPL-2.1", "f998bc436710cfece156aaa84fd26dd4"),
+    ("LGPL-2.1", "3054b3781b1af43f906dc753acad15ee"),
+    ("LGPL-3.0", "b31b7335bc37919e8cdd79154e04d88d"),
+    ("MPL-1.1", "b7edc06df79bc44a04f12befb8111960"),
+    ("MPL-2.0", "a27e119cd87d765a971af4667b2bf9b1"),
+    ("CC0-1.0", "d2a76f70ce19809695b7fb93c6241c23"),
+    ("GFDL-1.2", "c969fdb4b731dadf7173c1ffbe49a117"),
+    ("GFDL-1.3", "eb6b86c0fad89753a5a36c484fa0ada2"),
+)
+
+
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, runs of anything but letters and digits as one space, SPELLINGS. Null stays null."""
     t = F.regexp_replace(ascii_lower(text), _COPYRIGHT, "")
@@ -95,11 +123,16 @@ def digest(text: Column) -> Column:
 
 
 def known(spark: SparkSession, texts=KNOWN) -> DataFrame:
-    """(_digest, _licence) of the known texts; as many rows as the list given has distinct forms. Of two licences with one form the first by name counts."""
+    """(_digest, _licence) of the known texts, FULL included where the list is KNOWN; as many rows as they have distinct forms. Of two licences with one form the first by name counts."""
     if not texts:
         return spark.createDataFrame([], "_digest string, _licence string")
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(t).alias("t")) for n, t in texts]))
-    return spark.range(1, numPartitions=1).select(rows.alias("r")).select(digest(F.col("r.t")).alias("_digest"), F.col("r.n").alias("n")).groupBy("_digest").agg(F.min("n").alias("_licence"))
+    one = spark.range(1, numPartitions=1)
+    found = one.select(rows.alias("r")).select(digest(F.col("r.t")).alias("_digest"), F.col("r.n").alias("n"))
+    if texts is KNOWN:
+        full = F.explode(F.array(*[F.struct(F.lit(d).alias("_digest"), F.lit(n).alias("n")) for n, d in FULL]))
+        found = found.union(one.select(full.alias("r")).select("r._digest", "r.n"))
+    return found.groupBy("_digest").agg(F.min("n").alias("_licence"))
 
 
 def scan(docs: DataFrame, text_col: str = "text", texts=KNOWN) -> DataFrame:
@@ -118,4 +151,6 @@ def scan(docs: DataFrame, text_col: str = "text", texts=KNOWN) -> DataFrame:
     pairs = {r["_digest"]: r["_licence"] for r in known(spark, texts).collect()}  # one row for each known text
     names = F.create_map(*[F.lit(x) for kv in sorted((pairs or {"": ""}).items()) for x in kv])
     found = F.array_sort(F.array_distinct(F.filter(F.transform(forms, lambda d: F.try_element_at(names, d)), lambda n: n.isNotNull())))
+    bare = F.when(F.col("licence").isNull() & F.col(text_col).rlike(_HOLDER), digest(F.regexp_replace(F.col(text_col), _HOLDER, "")))
+    out = out.withColumn("licence", F.coalesce("licence", F.try_element_at(names, bare)))
     return out.withColumn("notices", F.coalesce(F.array_join(found, ","), F.lit("")))
