@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from vecloom.llm import bpe, chunks, jaccard_join, licences, lm, mixing, quality, secret_scan, sharding
+from vecloom.llm import bpe, chunks, jaccard_join, licences, lm, mixing, quality, queries, secret_scan, sharding
 
 from .cases import WORD, components, documents, repeats, secrets, shingles, texts, unigram_scores, words
 
@@ -112,8 +112,8 @@ def test_bpe_random_texts_and_windows(reference, monkeypatch):
 
 
 def test_bpe_states_may_be_dropped(reference, monkeypatch):
-    monkeypatch.setattr(bpe, "MAX_STATES", 50)
-    monkeypatch.setattr(bpe, "MAX_WORDS", 5)
+    for name, n in (("MAX_STATES", 50), ("MAX_PAIRS", 20), ("SLICE", 16), ("WORDS", 3), ("LONG", 9)):
+        monkeypatch.setattr(bpe, name, n)
     bpe.encoder.cache_clear()
     for t in (texts()[0], texts()[14], "antidisestablishmentarianism" * 9):
         assert bpe.encode_text(t) == reference.encode_ordinary(t)
@@ -128,6 +128,35 @@ def test_decoder_streams_broken_characters():
     assert "".join(d.decode([*thumb[:2], by[b"a"]])) == "\ufffda"
 
 
+def test_bpe_emits_while_it_reads():
+    """All but a bounded rest of a long word is out before its end."""
+    t, word = bpe.encoder(None), ("antidisestablishmentarianism" * 40).encode()
+    pieces = list(t.run(word))
+    assert len(pieces) == 2 and len(pieces[-1]) < 40 < len(pieces[0])
+
+
+def test_bpe_pattern_for_near_characters():
+    rng = random.Random(5)
+    every, near, far = bpe.patterns(public_tokenizers.PATTERN)
+    for _ in range(400):
+        s = "".join(rng.choice([chr(rng.randrange(0x250)), rng.choice(" 'stremvld\n\x1c\x85\xa0")]) for _ in range(rng.randrange(60)))
+        assert not far.search(s) and near.findall(s) == every.findall(s)
+
+
+def test_bpe_query_against_library(spark, reference, tmp_path):
+    """The registered query, with null, empty and repeated rows and columns that clash."""
+    path = str(tmp_path)
+    rows = [(i, t, i) for i, t in enumerate(texts())] + [(3, texts()[3], 1), (None, "null id", 2), (90, None, 3), (91, "", 4), (92, "x" * 30_000 + " ünïcode " * 9_000, 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, `ids` long").repartition(3).write.parquet(f"{path}/documents.parquet")
+
+    def want(doc_id, text):
+        ids = reference.encode_ordinary(text or "")
+        return doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
+
+    got = [tuple(r[c] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")) for r in queries.op2_byte_bpe(spark, path).collect()]
+    assert sorted(got, key=str) == sorted((want(i, t) for i, t, _ in rows), key=str)
+
+
 def test_bpe_empty(none):
     assert bpe.decode(bpe.encode(none)).count() == 0
 
