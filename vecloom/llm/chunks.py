@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
+
 #: Bytes of text in a chunk, and entries that meet in a range.
 CHUNK, RANGE = 8 << 20, 1_500_000
 
@@ -40,6 +42,24 @@ def unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, byte plane by byte plane: those of the high bytes hardly take space."""
+    return pack(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_keys(b: bytes) -> np.ndarray:
+    planes = unpack(b, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of batches, one at a time: a batch may hold many chunks. Freed memory goes back after each."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+            trim()
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, A-Z lower-cased, and the number of words of each text. A null text has none."""
     low = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -80,6 +100,7 @@ def coded(docs: DataFrame, id_col: str, text_col: str, size: int | None = None)
                 held += int(sizes[start:stop].sum())
                 if held >= most:
                     yield row(seq, ids, lens, hashes)
+                    trim()
                     seq, ids, lens, hashes, held = seq + 1, [], [], [], 0
                 start = stop
         if ids:
@@ -105,9 +126,11 @@ def sent(chunk: int, kind: int, keys: np.ndarray, counts: list[np.ndarray], bits
     """A chunk's sorted distinct keys and their counts as blobs (kind, range, chunk, keys, counts), one for each range that has any."""
     part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     begins = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(keys) else np.empty(0, np.int64)
+    cells: list[list] = [[], [], [], [], []]
     for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(keys)]):
-        cells = [[kind], [int(part[a])], [chunk], [keys[a:b].tobytes()], [[pack(c[a:b].astype(np.uint32)) for c in counts]]]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary())))], names=["kind", "range", "chunk", "keys", "counts"])
+        for cell, v in zip(cells, (kind, int(part[a]), chunk, pack_keys(keys[a:b]), [pack(c[a:b].astype(np.uint32)) for c in counts])):
+            cell.append(v)
+    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary())))], names=["kind", "range", "chunk", "keys", "counts"])
 
 
 SENT = "kind int, range long, chunk long, keys binary, counts array<binary>"
@@ -117,13 +140,14 @@ def returned(blobs: DataFrame) -> DataFrame:
     """(chunk, kind, range, sums, distinct): for each blob the sums over all chunks in its order; distinct is the number of the range's keys whose first sum is not 0."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
+        keys = [unpack_keys(k.as_py()) for k in table["keys"]]
         counts = table["counts"].to_pylist()
         ends = np.cumsum([len(k) for k in keys])[:-1]
         _, where = np.unique(np.concatenate(keys), return_inverse=True)
         sums = [np.bincount(where, np.concatenate([unpack(c[i], np.uint32) for c in counts])).astype(np.uint64) for i in range(len(counts[0]))]
         back = list(zip(*[[pack(p) for p in np.split(s[where], ends)] for s in sums]))
         n = int((sums[0] > 0).sum())
+        trim()
         return pa.table([table["chunk"], table["kind"], table["range"], pa.array([list(b) for b in back], pa.list_(pa.binary())), pa.array([n] * len(keys), pa.int64())], names=["chunk", "kind", "range", "sums", "distinct"])
 
     return blobs.groupBy("kind", "range").applyInArrow(run, "chunk long, kind int, range long, sums array<binary>, distinct long")

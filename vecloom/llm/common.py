@@ -2,18 +2,23 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Maximal runs of anything but ASCII white space (space, \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_scratch: list[tuple[SparkSession, str]] = []
+_scratch: dict[str, SparkSession] = {}
 
 
 def ascii_lower(c: Column) -> Column:
@@ -42,6 +47,13 @@ def table_literal(row: DataFrame, digits: int = 4) -> Column:
     return F.split(F.lit(values), ",").cast("array<double>")
 
 
+def need_integer(df: DataFrame, col: str) -> None:
+    """Refuses a column of ids that are not integers."""
+    kind = df.schema[col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{col} must hold integers, not {kind.simpleString()}")
+
+
 def ship(spark: SparkSession) -> None:
     """Puts this package on the path of local Python workers; a cluster job ships it with --py-files."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -50,10 +62,27 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
+@lru_cache(1)
+def _malloc_trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def trim() -> None:
+    """Returns freed memory of this worker to the system; allocators keep it otherwise, next to the other workers of the executor."""
+    pa.default_memory_pool().release_unused()
+    if f := _malloc_trim():
+        f(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a fresh local one where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="vecloom-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -72,19 +101,29 @@ def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     free_shuffles(spark)
     df.write.option("compression", codec).parquet(path)
-    _scratch.append((spark, path))
     free_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _scratch[path], out.written_to = spark, path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes written tables that no later step reads. What a result still needs goes when the process ends."""
+    for t in tables:
+        _remove(t.written_to)
+
+
+def _remove(path: str) -> None:
+    spark = _scratch.pop(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def drop_scratch() -> None:
     """Removes the written tables, as far as the session still lives."""
     while _scratch:
-        spark, path = _scratch.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(next(iter(_scratch)))
         except Exception:  # the session ended before this process
             return

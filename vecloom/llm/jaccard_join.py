@@ -37,10 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import SENT, Texts, bits_for, coded, finish, returned, sent, sums_of
-from .common import ship, stored
+from .chunks import SENT, Texts, bits_for, coded, finish, returned, rows_of, sent, sums_of
+from .common import drop, need_integer, ship, stored, trim
 
 WIDTH, PERCENT = 4, 85
+#: Bytes of text in a chunk.
+CHUNK = 4 << 20
 #: Shingles in a part of a block: two parts are searched at a time.
 PART = 2_000_000
 #: Above so many entries the short lists are merged by sorting instead of a heap.
@@ -84,6 +86,8 @@ class Sets(Texts):
         self.sets = shingle_sets(self.words[self.tokens] if len(self.words) else self.words, self.n, width)
         self.classes = [class_of(s) for s in self.sets]
         self.once = {c: s for c, s in zip(self.classes, self.sets) if len(s)}
+        self.sizes = [len(s) for s in self.sets]
+        del self.words, self.tokens, self.sets
 
     def held(self) -> tuple[np.ndarray, np.ndarray]:
         """The chunk's shingles, sorted, and the classes that hold each."""
@@ -92,10 +96,9 @@ class Sets(Texts):
 
 def send(chunks: DataFrame, bits: int, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, times = Sets(row, width).held()
-                yield from sent(row["chunk"], 0, keys, [times], bits)
+        for row in rows_of(batches):
+            keys, times = Sets(row, width).held()
+            yield from sent(row["chunk"], 0, keys, [times], bits)
 
     return chunks.mapInArrow(run, SENT)
 
@@ -125,7 +128,8 @@ def prefixes(chunks: DataFrame, back: DataFrame, width: int, percent: int) -> Da
         kinds = np.repeat([0, 1, 2], [int(first.sum()), len(pairs), len(c.ids)])
         a = pa.chunked_array([pa.array(token[first]), pa.array(pairs[:, 0]), pa.array(c.ids, pa.int64())])
         b = np.r_[cls[first], pairs[:, 1], np.array(c.classes, np.int64)]
-        n = np.r_[np.zeros(len(kinds) - len(c.ids), np.int64), np.array([len(s) for s in c.sets], np.int64)]
+        n = np.r_[np.zeros(len(kinds) - len(c.ids), np.int64), np.array(c.sizes, np.int64)]
+        trim()
         return pa.table([pa.array(kinds, pa.int64()), a, pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(np.full(len(kinds), row["chunk"], np.int64))], names=["k", "a", "b", "n", "chunk"])
 
     return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(run, "k long, a long, b long, n long, chunk long")
@@ -159,7 +163,7 @@ def ties(rows: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (a, b): the least node reachable. Labels go to neighbours and then jump to their label's label, until none changes; each round is written out."""
+    """(node, root, old) of every node of the edges (a, b); root: the least node reachable. Labels go to neighbours and then jump to their label's label, until none changes; each round is written out."""
     both = stored(edges.select("a", "b").union(edges.select("b", "a")), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
     while True:
@@ -167,9 +171,11 @@ def components(edges: DataFrame) -> DataFrame:
         moved = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("root").alias("old"), F.least("root", "near").alias("via"))
         jump = labels.select(F.col("node").alias("via"), F.col("root").alias("far"))
         new = stored(moved.join(jump, "via").select("node", F.least("via", "far").alias("root"), "old"), "labels")
-        labels = new.select("node", "root")
+        drop(labels)
+        labels = new
         if new.filter(F.col("root") != F.col("old")).isEmpty():
-            return labels
+            drop(both)
+            return new
 
 
 class Search:
@@ -324,19 +330,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     counts only if its component has no other. An empty table gives an empty
     result. Ids must be integers.
     """
+    need_integer(docs, id_col)
     ship(docs.sparkSession)
-    chunks = stored(coded(docs, id_col, text_col), "chunks")
+    chunks = stored(coded(docs, id_col, text_col, CHUNK), "chunks")
     entries = chunks.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0]  # about two bytes for each token
     back = stored(returned(send(chunks, bits_for(int(entries) // 2), width)), "holders")
     seen = stored(prefixes(chunks, back, width, percent), "prefixes")
+    drop(back)
     rows = seen.filter("k = 2").select(F.col("a").alias("id"), F.col("b").alias("cls"), "n", "chunk")
     blocks = components(ties(seen.filter("k < 2").select("k", "a", "b")))
+    scratch = [chunks, blocks]
 
     held = rows.filter("n > 0").groupBy("cls").agg(F.min("chunk").alias("chunk"), F.first("n").alias("n"))
     held = held.join(blocks, F.col("cls") == F.col("node")).select("chunk", "cls", "n", F.col("root").alias("block"))
     parts = held.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(PART / 2)).cast("int").alias("parts"))
-    parts = parts.select("block", F.when(F.col("parts") <= 4, 1).otherwise(F.col("parts")).alias("parts"))
+    parts = stored(parts.select("block", F.when(F.col("parts") <= 4, 1).otherwise(F.col("parts")).alias("parts")), "parts")  # as tables of their own on both sides, a hot block is split by the join
     held = stored(held.join(parts, "block").select("chunk", "cls", "block", "parts"), "held")
+    scratch += [parts, held]
 
     def sets_of(left: pa.Table, right: pa.Table) -> pa.Table:
         wanted = right.select(["cls", "block", "parts"])
@@ -349,11 +359,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     cells = cells.select("block", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "cls", "tokens")
     links = stored(link_cells(cells, percent), "links")
     whole = held.filter("parts > 1").isEmpty()
-    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")) if whole else components(links)
+    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")) if whole else components(links).select("node", "root")
+    drop(*scratch)
 
     tagged = rows.join(roots, F.col("cls") == F.col("node"), "left").select("id", "n", F.coalesce("root", "cls").alias("root"))
     real = tagged.filter("n > 0")
-    least = real.groupBy("root").agg(F.min("id").alias("component_id"))
+    least = stored(real.groupBy("root").agg(F.min("id").alias("component_id")), "least")
     linked = real.join(least, "root").select("id", "n", "component_id")
     return linked.unionByName(tagged.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import SENT, Texts, bits_for, coded, finish, returned, sent, sums_of, unpack
-from .common import free_shuffles, ship, stored
+from .chunks import SENT, Texts, bits_for, coded, finish, returned, rows_of, sent, sums_of, unpack
+from .common import drop, free_shuffles, need_integer, ship, stored
 
 #: Documents whose crc32(id) % FOLDS is HELD_OUT are not learned from; those where it is DELETED give the held-out counts of EM.
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
@@ -75,11 +75,10 @@ def send(chunks: DataFrame, bits: int) -> DataFrame:
     """Blobs of kind 0 for words, 1 for pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                c = Chunk(row)
-                for kind, keys, index, order in ((0, c.word_hash, c.token, c.word_order), (1, c.pair_hash, c.pair, c.pair_order)):
-                    yield from sent(row["chunk"], kind, keys, list(c.counts(index, order)), bits)
+        for row in rows_of(batches):
+            c = Chunk(row)
+            for kind, keys, index, order in ((0, c.word_hash, c.token, c.word_order), (1, c.pair_hash, c.pair, c.pair_order)):
+                yield from sent(row["chunk"], kind, keys, list(c.counts(index, order)), bits)
 
     return chunks.mapInArrow(run, SENT)
 
@@ -140,6 +139,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     An unseen bucket takes the weights of the nearest seen one below, else above,
     else equal ones. Ids must be integers; null ids are folded as the empty text.
     """
+    need_integer(docs, id_col)
     spark = docs.sparkSession
     ship(spark)
     chunks = stored(coded(docs, id_col, text_col, CHUNK), "chunks")
