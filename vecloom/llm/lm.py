@@ -108,7 +108,7 @@ def bucket(context: np.ndarray) -> np.ndarray:
 
 
 def _cell(p: np.ndarray, uniform: float) -> np.ndarray:
-    """A cell of the grid: the estimate's ratio to the uniform one; 0 stands for an estimate of 0."""
+    """A cell of the grid: the estimate's ratio to the uniform one, rounded on a logarithmic scale, so that EM goes over a table of bounded size; 0 stands for an estimate of 0. Scores use the estimates themselves."""
     with np.errstate(divide="ignore"):
         return np.where(p > 0, np.round(np.log2(np.where(p > 0, p, 1) / uniform) * GRID) + 10_000, 0).astype(np.int64)
 
@@ -130,12 +130,12 @@ def learn(cells: list[tuple[int, int, int, int]], rounds: int = ROUNDS) -> dict[
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, score_per_token.
 
     Texts are lower-cased (A-Z) words and one end, which is a token too; null and
     empty texts are one end. base_score adds one to unigram counts; score is the
     interpolated model's log10 probability. Repeated rows count as often as they
-    occur. Without training documents all estimates but the uniform one are 0.
+    occur, and very long texts count whole; an empty table gives an empty result. Without training documents all estimates but the uniform one are 0.
     An unseen bucket takes the weights of the nearest seen one below, else above,
     else equal ones. Ids must be integers; null ids are folded as the empty text.
     """
@@ -184,4 +184,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     del seen
     free_shuffles(spark)
     out = together(result, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.withColumnRenamed("id", id_col)
+    return out.withColumnRenamed("id", id_col).withColumn("score_per_token", F.col("score") / F.col("n_tokens"))
