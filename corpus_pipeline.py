@@ -8,18 +8,16 @@ one's documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm import bpe, jaccard_join, mixing, quality, secret_scan
-from vecloom.llm.common import shared_dir
+from vecloom.llm.common import drop, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality.keep(docs)
+    """Documents that the quality rules reject go; their bands are fitted on the labelled documents."""
+    return quality.keep(docs, limits=quality.limits_of(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's documents. What the stages before it wrote goes as soon as the next one has read it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        after = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop(before)
+        docs = before = after
     return docs
