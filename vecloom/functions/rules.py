@@ -62,3 +62,8 @@ def row_bytes(row_id: Column, vector: Column, metadata: Column, tags: Column, fi
 
 #: Presets of the graph index: neighbours, beam at build time, beam at search time.
 PROFILES = {"low_memory": (8, 50, 32), "balanced": (16, 128, 64), "high_recall": (32, 250, 256), "max_recall": (48, 500, 768)}
+
+
+def has_all(held: list[str], wanted) -> bool:
+    """The rule of `has_all_tags` for one row in memory."""
+    return set(wanted) <= set(held)

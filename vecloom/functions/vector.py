@@ -1,7 +1,10 @@
 """Vector kernels as column expressions: doubles throughout, higher is better for every score."""
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,24 +62,64 @@ def valid_dimension(v: Column, tombstone: Column, dimension: int) -> Column:
     return F.lit(True) if dimension == 0 else F.coalesce(tombstone, F.lit(False)) | (F.coalesce(F.size(v), F.lit(-1)) == dimension)
 
 
-@F.pandas_udf(T.BinaryType())
-def to_bytes(v):  # noqa: ANN001, ANN201
-    """Little-endian float32 wire form."""
-    import numpy as np
+@F.arrow_udf(T.BinaryType())
+def _floats_to_bytes(v: pa.Array) -> pa.Array:
+    data = np.ascontiguousarray(v.flatten().to_numpy(zero_copy_only=False), "<f4")
+    ends = 4 * np.cumsum(pc.fill_null(pc.list_value_length(v), 0).to_numpy(), dtype=np.int64)
+    out = pa.Array.from_buffers(pa.large_binary(), len(v), [None, pa.py_buffer(np.r_[0, ends]), pa.py_buffer(data)])
+    return pc.if_else(v.is_valid(), out, None).cast(pa.binary())
 
-    return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
 
+def to_bytes(v: Column | str) -> Column:
+    """Little-endian float32 wire form, whole batches at a time; null stays null."""
+    return _floats_to_bytes((F.col(v) if isinstance(v, str) else v).cast("array<float>"))
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def from_bytes(b):  # noqa: ANN001, ANN201
-    """The vector of a wire form; null where the length is no multiple of four."""
-    import numpy as np
 
-    return b.map(lambda x: None if x is None or len(x) % 4 else np.frombuffer(x, "<f4"))
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def from_bytes(b: pa.Array) -> pa.Array:
+    """The vector of a wire form; null where the length is no multiple of four."""
+    fit = pc.fill_null(pc.equal(pc.bit_wise_and(pc.binary_length(b), 3), 0), False)
+    whole = pc.if_else(fit, b, None).cast(pa.large_binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(whole), 0).to_numpy(), dtype=np.int64) // 4
+    raw = b"".join(whole.drop_null().to_pylist())
+    out = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(np.frombuffer(raw, "<f4"), pa.float32()))
+    return pc.if_else(fit, out, None)
+
+
+@F.udtf(returnType=T.StructType([T.StructField("id", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+class KnnRows:
+    """Table function knn(query, metric, k) over TABLE(rows) of (id, vector): the best k rows of the partition that it is given."""
+
+    def eval(self, row: Row, query: list, metric: str, k: int):
+        if not hasattr(self, "best"):
+            self.best, self.q = [], np.array(query, np.float64)
+            self.metric, self.k = metric, k
+        if row["vector"] is None or row["id"] is None or len(row["vector"]) != len(self.q):
+            return
+        v = np.array(row["vector"], np.float64)
+        if self.metric == "l2":
+            score = -float(np.square(v - self.q).sum())
+        else:
+            n = float(np.linalg.norm(v) * np.linalg.norm(self.q)) if self.metric == "cosine" else 1.0
+            score = float(v @ self.q) / n if n else 0.0
+        if not np.isnan(score):
+            self.best.append((-score, str(row["id"])))
+        if len(self.best) > 4 * self.k + 64:
+            self.best = sorted(self.best)[: self.k]
+
+    def terminate(self):
+        for rank, (score, row_id) in enumerate(sorted(getattr(self, "best", []))[: getattr(self, "k", 0)]):
+            yield row_id, rank + 1, -score
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions vec_l2, vec_dot, vec_cosine, vec_norm and tags_all, which Catalyst inlines."""
+    """SQL functions vec_l2, vec_dot, vec_cosine, vec_norm and tags_all, which Catalyst inlines, and the table function knn.
+
+    SELECT * FROM knn(TABLE(rows) PARTITION BY (segment_id), array(1D, 0D), 'cosine', 10)
+    gives the best rows of each segment; without PARTITION BY (WITH SINGLE
+    PARTITION) all rows go through one task, so give a partitioning on large tables.
+    """
+    spark.udtf.register("knn", KnnRows)
     ab = "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>"
     total = "aggregate({}, 0D, (s, x) -> s + x)"
     for name, args, body in (

@@ -65,11 +65,10 @@ def assign(rows: DataFrame, centres: np.ndarray, metric: str = "cosine") -> Data
 
 def ivf_search(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = 10, nprobe: int = 8, metric: str = "cosine") -> DataFrame:
     """query_id, rank, id, score: the best k of the nprobe cells whose centres are nearest to each query. Queries are joined to rows by cell, in blocks of bounded size."""
-    asked = queries.select(F.col("query_id").cast("long"), F.col("qvec").cast("array<double>"))
-    blocks, out = max(1, -(-asked.count() // search.BLOCK)), None
-    for b in range(blocks):
-        mine = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()  # a block
-        q = np.array([r[1] for r in mine], np.float64)
+    asked = queries.select(F.col("query_id").cast("long"), F.col("qvec").cast("array<double>")).filter(F.size("qvec") == centres.shape[1])
+    out = None
+    for mine in search.taken(asked, search.BLOCK):
+        q = np.array([r[1] for r in mine], np.float64).reshape(len(mine), centres.shape[1])
         near = np.argsort(-(_prepared(q, metric) @ centres.T - np.square(centres).sum(1) / 2), axis=1, kind="stable")[:, :nprobe] if len(q) else np.empty((0, 0), np.int64)
         by_cell: dict[int, list[int]] = {}
         for i, cells in enumerate(near.tolist()):
@@ -79,17 +78,16 @@ def ivf_search(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, k: i
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, qs, wanted = sent.value
+            best = search.Best(len(ids), k)
             for batch in batches:
-                m = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
-                own, cell = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-                for c in np.unique(cell).tolist():
-                    who = wanted.get(c, [])
-                    rows = np.flatnonzero(cell == c)
-                    for at in range(0, len(who), 512):
-                        s = search._scores(qs[who[at : at + 512]], m[rows], metric)
-                        keep = s >= np.partition(s, -k, axis=1)[:, [-k]] if s.shape[1] > k else np.ones_like(s, bool)
-                        i, j = np.nonzero(keep)
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(who[at : at + 512])[i]]), pa.array(own[rows[j]]), pa.array(s[i, j])], names=["query_id", "id", "score"])
+                cells = batch.column(2).to_numpy()
+                for c in np.unique(cells).tolist():
+                    who = np.array(wanted.get(c, []), np.int64)
+                    own, m = search.matrix(batch.filter(pa.array(cells == c)), qs.shape[1])
+                    if len(who) and len(own):
+                        best.add_for(who, own, search._scores(qs[who], m, metric))
+                best.cut()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best.q]), pa.array(best.id), pa.array(best.score)], names=["query_id", "id", "score"])
 
         part = indexed.filter(F.col("cell").isin(sorted(by_cell))).select("id", "vector", "cell").mapInArrow(run, "query_id long, id long, score double")
         out = part if out is None else out.unionByName(part)
@@ -108,6 +106,13 @@ class Graph:
         for i, level in enumerate(levels.tolist()):
             self._insert(i, level)
 
+    @classmethod
+    def load(cls, m: np.ndarray, layers: list[dict[int, list[int]]], metric: str = "cosine", profile: str = "balanced") -> Graph:
+        """A graph that was built before, over the same vectors in the same order."""
+        g = cls(m[:0], metric, profile)
+        g.m, g.layers, g.entry = _prepared(m.astype(np.float64), metric), layers, min(layers[-1]) if layers else -1
+        return g
+
     def scores(self, q: np.ndarray, to: list[int]) -> np.ndarray:
         v = self.m[to]
         return -np.square(v - q).sum(1) if self.metric == "l2" else v @ q
@@ -182,41 +187,75 @@ class Graph:
         return self._beam(q, at, max(beam or self.beam, k), 0)[:k]
 
 
+def _segments(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.size("vector") > 0).select(F.col("segment_id").cast("long"), "id", "vector")
+
+
+def _vectors(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """A segment's rows in id order, and their vectors."""
+    t = t.sort_by("id").combine_chunks()
+    return t, np.array(t["vector"].to_pylist(), np.float64).reshape(len(t), -1)
+
+
 def graph_edges(rows: DataFrame, metric: str = "cosine", profile: str = "balanced") -> DataFrame:
-    """(segment_id, layer, id, neighbours): the graph of each segment's live rows, as a table."""
+    """(segment_id, layer, ord, neighbours): the graph of each segment's live rows, as a table to be kept. A node is its row's place in the segment's order of ids."""
 
     def build(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id")
-        ids = t["id"].to_numpy()
-        g = Graph(np.array(t["vector"].to_pylist(), np.float64), metric, profile)
-        out = [(t["segment_id"][0].as_py(), layer, int(ids[i]), [int(ids[j]) for j in links]) for layer, nodes in enumerate(g.layers) for i, links in nodes.items()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())))], names=["segment_id", "layer", "id", "neighbours"])
+        t, m = _vectors(t)
+        g = Graph(m, metric, profile)
+        out = [(t["segment_id"][0].as_py(), layer, i, links) for layer, nodes in enumerate(g.layers) for i, links in nodes.items()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())))], names=["segment_id", "layer", "ord", "neighbours"])
+
+    return _segments(rows).groupBy("segment_id").applyInArrow(build, "segment_id long, layer int, ord int, neighbours array<int>")
 
-    live = rows.filter(F.size("vector") > 0).select(F.col("segment_id").cast("long"), F.col("id").cast("long"), "vector")
-    return live.groupBy("segment_id").applyInArrow(build, "segment_id long, layer int, id long, neighbours array<bigint>")
 
+#: Rows of upper layers that may be pinned in every worker.
+MAX_PINNED = 2_000_000
 
-def graph_search(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", profile: str = "balanced", beam: int | None = None) -> DataFrame:
-    """query_id, rank, id, score: each segment's graph answers every query of a block, and the answers are merged."""
+
+def pin(edges: DataFrame) -> dict[int, dict[int, dict[int, list[int]]]]:
+    """segment: layer: node: neighbours of the layers above the lowest, about one node in the degree; refused above MAX_PINNED rows. A search with it reads layer 0 alone."""
+    rows = edges.filter("layer > 0").select("segment_id", "layer", "ord", "neighbours").limit(MAX_PINNED + 1).collect()
+    if len(rows) > MAX_PINNED:
+        raise ValueError(f"more than {MAX_PINNED} nodes to pin")
+    out: dict[int, dict[int, dict[int, list[int]]]] = {}
+    for r in rows:
+        out.setdefault(r[0], {}).setdefault(r[1], {})[r[2]] = r[3]
+    return out
+
+
+def graph_search(rows: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", profile: str = "balanced", beam: int | None = None, pinned: dict | None = None) -> DataFrame:
+    """query_id, rank, id, score: each segment's stored graph answers every query of a block, and the answers are merged.
+
+    `rows` are the segments' live rows that `edges` was built from. Segments
+    without a graph answer nothing. With `pinned` upper layers only the edges of
+    layer 0 are read.
+    """
+    spark = rows.sparkSession
+    above = spark.sparkContext.broadcast(pinned) if pinned is not None else None
+    kind = rows.schema["id"].dataType.simpleString()
 
     def answer(sent):
-        def run(t: pa.Table) -> pa.Table:
-            t = t.sort_by("id")
-            ids = t["id"].to_numpy()
-            g = Graph(np.array(t["vector"].to_pylist(), np.float64), metric, profile)
-            hits = [(n, int(ids[i]), s) for n, q in sent.value for s, i in g.search(np.array(q), k, beam)]
-            return pa.table([pa.array([h[c] for h in hits], kind) for c, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], names=["query_id", "id", "score"])
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            hits = []
+            if len(left) and len(right):
+                t, m = _vectors(left)
+                layers: dict[int, dict[int, list[int]]] = {n: dict(nodes) for n, nodes in above.value.get(t["segment_id"][0].as_py(), {}).items()} if above else {}
+                for n, i, links in zip(*(right[c].to_pylist() for c in ("layer", "ord", "neighbours"))):
+                    layers.setdefault(n, {})[i] = links
+                g = Graph.load(m, [layers[n] for n in sorted(layers)], metric, profile)
+                ids = t["id"].to_pylist()
+                hits = [(n, ids[i], s) for n, q in sent.value if len(q) == m.shape[1] for s, i in g.search(np.array(q), k, beam)]
+            return pa.table([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], left.schema.field("id").type), pa.array([h[2] for h in hits], pa.float64())], names=["query_id", "id", "score"])
 
         return run
 
-    asked = queries.select(F.col("query_id").cast("long"), F.col("qvec").cast("array<double>"))
-    blocks, out = max(1, -(-asked.count() // search.BLOCK)), None
-    live = rows.filter(F.size("vector") > 0).select(F.col("segment_id").cast("long"), F.col("id").cast("long"), "vector")
-    for b in range(blocks):
-        mine = [(r[0], r[1]) for r in asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()]  # a block
-        sent = rows.sparkSession.sparkContext.broadcast(mine)
-
-        part = live.groupBy("segment_id").applyInArrow(answer(sent), "query_id long, id long, score double")
+    asked = queries.select(F.col("query_id").cast("long"), F.col("qvec").cast("array<double>")).filter("query_id is not null and size(qvec) > 0")
+    kept = (edges.filter("layer = 0") if above else edges).select(F.col("segment_id").cast("long"), "layer", "ord", "neighbours")
+    out = None
+    for mine in search.taken(asked, search.BLOCK):
+        sent = spark.sparkContext.broadcast([(r[0], r[1]) for r in mine])
+        part = _segments(rows).groupBy("segment_id").cogroup(kept.groupBy("segment_id")).applyInArrow(answer(sent), f"query_id long, id {kind}, score double")
         out = part if out is None else out.unionByName(part)
     best = out.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return search.ranked(best, ["query_id"], k).select("query_id", "rank", "id", "score")
@@ -226,10 +265,10 @@ def check_edges(edges: DataFrame, profile: str = "balanced") -> DataFrame:
     """(problem, n) of a table of edges: self-loops, nodes of too high a degree, neighbours that are not on the layer."""
     degree = PROFILES[profile][0]
     limit = F.when(F.col("layer") == 0, 2 * degree).otherwise(degree)
-    pairs = edges.select("segment_id", "layer", "id", F.explode("neighbours").alias("to"))
-    absent = pairs.join(edges.select("segment_id", "layer", F.col("id").alias("to")), ["segment_id", "layer", "to"], "left_anti")
+    pairs = edges.select("segment_id", "layer", "ord", F.explode("neighbours").alias("to"))
+    absent = pairs.join(edges.select("segment_id", "layer", F.col("ord").alias("to")), ["segment_id", "layer", "to"], "left_anti")
 
     def n(df: DataFrame, problem: str) -> DataFrame:
         return df.agg(F.count("*").alias("n")).select(F.lit(problem).alias("problem"), "n")
 
-    return n(pairs.filter(F.col("id") == F.col("to")), "self_loop").unionByName(n(edges.filter(F.size("neighbours") > limit), "degree")).unionByName(n(absent, "absent"))
+    return n(pairs.filter(F.col("ord") == F.col("to")), "self_loop").unionByName(n(edges.filter(F.size("neighbours") > limit), "degree")).unionByName(n(absent, "absent"))

@@ -2,7 +2,7 @@
 
 One query: a declarative plan that ends in TakeOrderedAndProject. Many queries:
 blocks of bounded size are broadcast and multiplied with the rows where they
-lie; each task keeps k rows per query, so k * tasks rows per query are shuffled.
+lie; each task keeps its k best rows per query, so k * tasks rows per query are shuffled.
 Ties go to the smaller id.
 """
 from __future__ import annotations
@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, vector
+from . import lww
 
 #: Queries that are broadcast at a time.
 BLOCK = 8_192
@@ -56,7 +58,7 @@ def scatter_gather(rows: DataFrame, query: list[float], k: int, shard: str, metr
     return merge_top_k(ranked(scored, [shard], k, id_col).drop("rank"), k, id_col=id_col)
 
 
-def segmented(log: DataFrame, newest: DataFrame, query: list[float], k: int, fetch: int, metric: str = "l2", tags: list[str] | None = None) -> DataFrame:
+def segmented(log: DataFrame, query: list[float], k: int, fetch: int, metric: str = "l2", tags: list[str] | None = None) -> DataFrame:
     """Search segment by segment as a log-structured store does it.
 
     The best `fetch` rows of each segment are merged by their own scores, stale
@@ -64,12 +66,23 @@ def segmented(log: DataFrame, newest: DataFrame, query: list[float], k: int, fet
     tombstone or lacks a tag are passed over, the first k others are kept and
     scored again on their newest vectors. A stale version can thus take a place.
     """
+    merged = merge_top_k(segment_hits(log, query, fetch, metric, tags), fetch)
+    return reconciled(merged, log, query, k, metric, tags)
+
+
+def segment_hits(log: DataFrame, query: list[float], fetch: int, metric: str, tags: list[str] | None = None) -> DataFrame:
+    """(id, score): the best `fetch` live rows of each segment, versions that are stale included."""
     fit = log.filter(rules.live(F.col("vector"), F.col("tombstone")))
     if tags:
         fit = fit.filter(rules.has_all_tags(F.col("tags"), tags))
     scored = fit.select("segment_id", "id", vector.score(metric, F.col("vector"), literal(query)).alias("score"))
-    merged = merge_top_k(ranked(scored, ["segment_id"], fetch).drop("rank"), fetch)
-    now = newest.filter(rules.live(F.col("vector"), F.col("tombstone")))
+    return ranked(scored, ["segment_id"], fetch).select("id", "score")
+
+
+def reconciled(merged: DataFrame, log: DataFrame, query: list[float], k: int, metric: str, tags: list[str] | None = None) -> DataFrame:
+    """The first k of a short list of hits whose newest version is live and has the tags, scored again on it. Only the log's rows of these ids are looked at, and none is shuffled but those."""
+    near = log.join(F.broadcast(merged.select("id")), "id", "left_semi")
+    now = lww.newest(near).filter(rules.live(F.col("vector"), F.col("tombstone")))
     if tags:
         now = now.filter(rules.has_all_tags(F.col("tags"), tags))
     kept = F.broadcast(merged).join(now.select("id", "vector"), "id").orderBy(F.desc("score"), "id").limit(k)  # at most `fetch` rows
@@ -86,33 +99,87 @@ def _scores(q: np.ndarray, m: np.ndarray, metric: str) -> np.ndarray:
     return np.divide(s, n, out=np.zeros_like(s), where=n != 0)
 
 
+class Best:
+    """The k best (score, smaller id) rows of each query so far."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.floor = k, np.full(queries, -np.inf)
+        self.q, self.id, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def add(self, first: int, ids: np.ndarray, s: np.ndarray) -> None:
+        """Scores of the queries from `first` on (rows) with the rows `ids` (columns)."""
+        self.add_for(np.arange(first, first + len(s)), ids, s)
+
+    def add_for(self, queries: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
+        """Scores of some queries (rows) with the rows `ids` (columns)."""
+        floor = self.floor[queries, None]
+        if s.shape[1] > self.k:
+            floor = np.maximum(floor, np.partition(s, -self.k, axis=1)[:, [-self.k]])
+        i, j = np.nonzero((s >= floor) & (s > -np.inf))
+        self.q, self.id, self.score = np.r_[self.q, queries[i]], np.r_[self.id, ids[j]], np.r_[self.score, s[i, j]]
+
+    def cut(self) -> None:
+        order = np.lexsort((self.id, -self.score, self.q))
+        q = self.q[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        last = order[rank == self.k - 1]
+        self.floor[self.q[last]] = self.score[last]
+        order = order[rank < self.k]
+        self.q, self.id, self.score = self.q[order], self.id[order], self.score[order]
+
+
+def taken(asked: DataFrame, block: int) -> Iterator[list]:
+    """The rows of a table of (id, vector) in blocks of bounded size; one job if they fit in one."""
+    first = asked.limit(block + 1).collect()  # bounded
+    if len(first) <= block:
+        yield first
+        return
+    blocks = -(-2 * asked.count() // block)
+    for b in range(blocks):
+        yield asked.filter(F.pmod(F.xxhash64(asked.columns[0]), F.lit(blocks)) == b).collect()
+
+
+def matrix(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of the rows of (id, vector) that have an id and `width` components, none of them null."""
+    column = batch.column(1)
+    fit = pc.and_(pc.equal(pc.list_value_length(column), width), batch.column(0).is_valid())
+    if column.flatten().null_count:
+        holes = pc.list_parent_indices(column).filter(pc.is_null(pc.list_flatten(column)))
+        fit = pc.and_(fit, pc.invert(pc.is_in(pa.array(np.arange(batch.num_rows)), holes.cast(pa.int64()))))
+    batch = batch.filter(pc.fill_null(fit, False))
+    return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, width)
+
+
 def batch_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, id, score for a table of queries (query_id, qvec) over rows (id long, vector), all of one dimension.
+    """query_id, rank, id, score for a table of queries (query_id, qvec) over rows (id long, vector).
 
-    Every task keeps, for each query of a block, all rows that tie with its k-th
-    best, so ties are resolved by id in the last ranking.
+    Every task keeps the k best of each query of a block, so at most k * tasks
+    rows per query are shuffled. Rows without id or vector, with null components
+    or of another dimension than the queries take no part; nor do such queries.
     """
     spark = rows.sparkSession
-    asked = queries.select(F.col("query_id").cast("long"), F.col("qvec").cast("array<double>"))
-    blocks = max(1, -(-asked.count() // block))
-    slim, out = rows.filter(F.size("vector") > 0).select(F.col("id").cast("long").alias("id"), "vector"), None
-    for b in range(blocks):
-        mine = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()  # a block
-        sent = spark.sparkContext.broadcast((np.array([r[0] for r in mine], np.int64), np.array([r[1] for r in mine], np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            for batch in batches if len(ids) else []:
-                m = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
-                own = batch.column(0).to_numpy()
-                for at in range(0, len(ids), 512):
-                    s = _scores(q[at : at + 512], m, metric)
-                    if exclude_self:
-                        s[ids[at : at + 512, None] == own[None, :]] = -np.inf
-                    keep = s >= np.partition(s, -k, axis=1)[:, [-k]] if s.shape[1] > k else s > -np.inf
-                    i, j = np.nonzero(keep & (s > -np.inf))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + i]), pa.array(own[j]), pa.array(s[i, j])], names=["query_id", "id", "score"])
-
-        part = slim.mapInArrow(run, "query_id long, id long, score double")
-        out = part if out is None else out.unionByName(part)
+    asked = queries.select(F.col("query_id").cast("long"), F.col("qvec").cast("array<double>")).filter("query_id is not null and qvec is not null and forall(qvec, x -> x is not null)")
+    slim, out = rows.select(F.col("id").cast("long").alias("id"), "vector"), None
+    for mine in taken(asked, block):
+        for width in sorted({len(r[1]) for r in mine} - {0}):
+            own = [r for r in mine if len(r[1]) == width]
+            sent = spark.sparkContext.broadcast((np.array([r[0] for r in own], np.int64), np.array([r[1] for r in own], np.float64)))
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent, width=width) -> Iterator[pa.RecordBatch]:
+                ids, q = sent.value
+                best = Best(len(ids), k)
+                for batch in batches:
+                    own, m = matrix(batch, width)
+                    for at in range(0, len(ids) if len(own) else 0, 512):
+                        s = _scores(q[at : at + 512], m, metric)
+                        if exclude_self:
+                            s[ids[at : at + 512, None] == own[None, :]] = -np.inf
+                        best.add(at, own, s)
+                    best.cut()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best.q]), pa.array(best.id), pa.array(best.score)], names=["query_id", "id", "score"])
+
+            part = slim.mapInArrow(run, "query_id long, id long, score double")
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, id long, score double")
     return ranked(out, ["query_id"], k).select("query_id", "rank", "id", "score")
