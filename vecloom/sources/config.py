@@ -30,7 +30,7 @@ def load_toml_file(path: str) -> dict:
 
 
 #: Columns of a catalogue line; later ones may be missing.
-CATALOGUE = (("name", "string", None), ("dimension", "long", "0"), ("metric", "string", "l2"), ("storage_mode", "string", "hot"), ("max_vectors", "long", "0"), ("storage_quota", "long", "0"), ("max_qps", "long", "0"), ("memory_budget", "long", "0"), ("isolation", "string", "shared"))
+CATALOGUE = (("name", "string", None), ("dimension", "long", "0"), ("metric", "string", "l2"), ("storage_mode", "string", "hot"), ("max_vectors", "long", "0"), ("storage_quota", "long", "0"), ("max_qps", "long", "0"), ("memory_budget", "long", "0"), ("isolation", "string", "shared"), ("accuracy_profile", "string", "balanced"))
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -43,3 +43,19 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 def write_catalogue(catalogue: DataFrame, path: str) -> None:
     line = F.concat_ws("\t", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n, _, _ in CATALOGUE])
     catalogue.select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def format_catalogue(rows: list[dict]) -> str:
+    """The same lines for a catalogue in memory."""
+    return "".join("\t".join("" if r.get(n) is None else str(r[n]) for n, _, _ in CATALOGUE) + "\n" for r in rows)
+
+
+def parse_catalogue(text: str) -> list[dict]:
+    """The collections of a catalogue file, by the rules of `read_catalogue`."""
+    out = []
+    for line in text.splitlines():
+        parts = line.split("\t")
+        if len(parts) >= 3:
+            given = dict(zip([n for n, _, _ in CATALOGUE], parts))
+            out.append({n: (int if kind == "long" else str)(given.get(n) or default or "") for n, kind, default in CATALOGUE})
+    return out
