@@ -42,5 +42,6 @@ def test_query(spark, data, duck, name):
 
 
 def test_recall_gate(spark, data):
-    for name in ("ann_ivf_recall", "ann_hnsw_recall"):
-        assert catalogue.queries()[name](spark, data).first()["recall"] >= 0.9
+    for name, least in (("ann_ivf_recall", 0.9), ("ann_hnsw_recall", 0.95)):
+        assert catalogue.queries()[name](spark, data).first()["recall"] >= least
+    assert all(r["same"] for r in catalogue.queries()["ann_hnsw_pinned"](spark, data).collect())

@@ -1,4 +1,5 @@
 """Small cases of single operators."""
+import math
 import random
 
 import numpy as np
@@ -43,9 +44,9 @@ def test_merge_keeps_best_score(spark):
 
 def test_stale_version_is_rescored(spark):
     rows = log(spark, ("a", [1.0, 0.0], 10, 0, 1), ("a", [-1.0, 0.0], 20, 0, -1))
-    assert [tuple(r) for r in search.segmented(rows, lww.newest(rows), [1.0, 0.0], 1, 18).collect()] == [("a", -4.0)]
+    assert [tuple(r) for r in search.segmented(rows, [1.0, 0.0], 1, 18).collect()] == [("a", -4.0)]
     gone = log(spark, ("a", [1.0, 0.0], 10, 0, 1), ("a", None, 20, 0, -1))
-    assert search.segmented(gone, lww.newest(gone), [1.0, 0.0], 1, 18).count() == 0 and lww.get(gone, "a").count() == 0
+    assert search.segmented(gone, [1.0, 0.0], 1, 18).count() == 0 and lww.get(gone, "a").count() == 0
 
 
 def test_equal_versions_prefer_memtable_then_oldest_segment(spark):
@@ -120,14 +121,155 @@ def test_quota_and_rate(spark):
 
 
 def test_phi_grows_with_silence(spark):
-    beats = spark.createDataFrame([("n", 100 * i) for i in range(10)] + [("once", 0)], "endpoint string, now_ms long")
-    at = lambda t: {r["endpoint"]: r for r in liveness.phi(beats, F.lit(t)).collect()}
-    assert at(900)["n"]["phi"] < 1 < at(1400)["n"]["phi"] and not at(3400)["n"]["available"] and at(3400)["once"]["available"]
+    beats = spark.createDataFrame([("n", 100 * i) for i in range(10)] + [("once", 0)] + [("fast", i) for i in range(20)], "endpoint string, now_ms long")
+    at = lambda t, **kw: {r["endpoint"]: r for r in liveness.phi(beats, F.lit(t), **kw).collect()}
+    assert at(900)["n"]["phi"] < 1 < at(1400)["n"]["phi"] and not at(3400)["n"]["available"]
+    # one heartbeat: a mean of a second; fast ones: a mean of 100 ms; a pause does not count
+    assert at(3400)["once"]["available"] and not at(20_000)["once"]["available"] and at(2000)["once"]["mean_ms"] == 1000
+    assert at(119)["fast"]["phi"] == pytest.approx(math.log10(math.e)) and at(119, pause_ms=500)["fast"]["phi"] == 0
 
 
 def test_gossip(spark):
-    s = spark.createDataFrame([("a", 1, 5, "Alive"), ("a", 1, 9, "Dead"), ("a", 2, 1, "Alive"), ("b", 1, 3, "Left"), ("b", 1, 7, "Alive")], "endpoint string, generation long, version long, status string")
-    assert {tuple(r) for r in liveness.merge_gossip(s).collect()} == {("a", 2, 1, "Alive"), ("b", 1, 3, "Left")}
+    kind = "endpoint string, generation long, version long, status string"
+    s = spark.createDataFrame([("a", 1, 5, "Alive"), ("a", 1, 9, "Dead"), ("a", 2, 1, "Alive"), ("b", 1, 3, "Left"), ("b", 1, 7, "Alive"), ("c", 1, 4, "Alive"), ("c", 1, 4, "Left")], kind)
+    assert {tuple(r) for r in liveness.merge_gossip(s).collect()} == {("a", 2, 1, "Alive"), ("b", 1, 7, "Alive"), ("c", 1, 4, "Left")}
+
+
+def test_gossip_round_and_tick(spark):
+    """A newer heartbeat is taken whole, Alive after Left and after Dead too; an echo of the same one changes nothing but a leave."""
+    kind = "endpoint string, generation long, version long, status string"
+    mine = spark.createDataFrame([("me", 1, 5, "Alive"), ("left", 1, 3, "Left"), ("dead", 1, 3, "Dead"), ("echo", 1, 3, "Dead"), ("goes", 1, 3, "Alive"), ("old", 2, 1, "Alive"), ("mine", 1, 1, "Alive")], kind)
+    theirs = spark.createDataFrame([("me", 9, 9, "Left"), ("left", 1, 4, "Alive"), ("dead", 1, 4, "Alive"), ("echo", 1, 3, "Alive"), ("goes", 1, 3, "Left"), ("old", 1, 9, "Left"), ("new", 1, 1, "Dead")], kind)
+    got = {r[0]: tuple(r[1:]) for r in liveness.gossip_round(mine, theirs, "me").collect()}
+    assert got == {"me": (1, 5, "Alive"), "left": (1, 4, "Alive"), "dead": (1, 4, "Alive"), "echo": (1, 3, "Dead"), "goes": (1, 3, "Left"), "old": (2, 1, "Alive"), "mine": (1, 1, "Alive"), "new": (1, 1, "Dead")}
+    beats = spark.createDataFrame([("me", 0), ("goes", 0), ("old", 9_500), ("left", 0)], "endpoint string, now_ms long")
+    after = {r[0]: r[3] for r in liveness.tick(mine, beats, F.lit(30_000), "me").collect()}
+    assert after == {"me": "Alive", "left": "Left", "dead": "Dead", "echo": "Dead", "goes": "Dead", "old": "Dead", "mine": "Alive"}
+
+
+def test_hash64_parity(spark):
+    """Against the published FNV-1a and splitmix64, one byte at a time."""
+    def finish(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor % (1 << 64)
+        return x ^ x >> 31
+
+    def plain(text, seed):
+        h = 0xCBF29CE484222325 ^ finish(seed)
+        for b in text.encode():
+            h = (h ^ b) * 0x100000001B3 % (1 << 64)
+        return finish(h)
+
+    rows = [("", 0), ("a", 0), ("node-1", 7), ("ünïcode 👍", 3), ("x" * 300, 2**40)]
+    df = spark.createDataFrame(rows, "t string, seed long")
+    assert [r[0] + (1 << 63) for r in df.select(placement.hash64(F.col("t"), F.col("seed"))).collect()] == [plain(*r) for r in rows]
+    from vecloom.plans import catalogue
+
+    for r in catalogue.queries()["hash64_parity"](spark, "/root/testdata/sf0.001").collect():
+        assert int(r["hash"]) == plain(r["n_name"], r["seed"])
+    # a ring by it, walked
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(5)], "node string")
+    tokens = sorted((plain(f"n{i}", v), f"n{i}") for i in range(5) for v in range(8))
+    keys = [f"key-{i}" for i in range(200)]
+    walk = lambda key: list(dict.fromkeys([n for t, n in tokens if t >= plain(key, 0)] + [n for t, n in tokens]))[:2]
+    found = {}
+    for r in placement.replicas(spark.createDataFrame([(k,) for k in keys], "key string"), placement.ring(nodes, vnodes=8, by=placement.FNV), 2, by=placement.FNV).orderBy("key", "n").collect():
+        found.setdefault(r["key"], []).append(r["node"])
+    assert found == {k: walk(k) for k in keys}
+
+
+def test_replicated_rows_survive_a_node(spark):
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(4)], "node string")
+    rows = spark.createDataFrame([(f"k{i}", i, "own") for i in range(100)], "key string, value long, token string")
+    tokens = placement.ring(nodes, vnodes=8)
+    held = placement.write_replicated(rows, tokens, 2)
+    assert held.count() == 200 and held.columns == ["node", *rows.columns]
+    for gone in ("n0", "n3"):
+        got = placement.read_any(held, [f"n{i}" for i in range(4) if f"n{i}" != gone], order=("node",))
+        assert sorted((r["key"], r["value"]) for r in got.collect()) == sorted((f"k{i}", i) for i in range(100))
+
+
+def test_batch_search_passes_over_unfit_rows(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.5, None]), (None, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.0])], "id long, vector array<double>")
+    asked = spark.createDataFrame([(9, [1.0, 0.0]), (8, None), (7, [1.0, 2.0, 3.0])], "query_id long, qvec array<double>")
+    for block in (1, 100):
+        got = [(r["query_id"], r["rank"], r["id"]) for r in search.batch_top_k(rows, asked, 2, block=block).orderBy("query_id", "rank").collect()]
+        assert got == [(9, 1, 1), (9, 2, 6)]
+    assert search.batch_top_k(rows, asked.limit(0), 2).count() == 0
+
+
+def test_pinned_graph_search_is_the_whole_one(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(f"d{i}", i % 2, rng.normal(size=8).tolist()) for i in range(300)], "id string, segment_id long, vector array<double>")
+    edges = ann.graph_edges(rows).cache()
+    asked = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(5)], "query_id long, qvec array<double>")
+    find = lambda **kw: sorted(map(tuple, ann.graph_search(rows, edges, asked, 5, **kw).collect()))
+    assert len(find()) == 25 and find() == find(pinned=ann.pin(edges))
+
+
+def test_knn_table_function(spark):
+    from vecloom.functions import vector
+
+    vector.register(spark)
+    spark.createDataFrame([("a", 0, [1.0, 0.0]), ("b", 0, [0.0, 1.0]), ("c", 1, [1.0, 0.0]), ("d", 1, None)], "id string, segment_id long, vector array<double>").createOrReplaceTempView("knn_rows")
+    got = spark.sql("SELECT id, rank, score FROM knn(TABLE(knn_rows) PARTITION BY (segment_id), array(1D, 0D), 'cosine', 1)").collect()
+    assert sorted(map(tuple, got)) == [("a", 1, 1.0), ("c", 1, 1.0)]
+
+
+def test_log_survives_and_cuts(spark, tmp_path):
+    from vecloom.sources import store, wal
+
+    row = lambda i: {"id": f"r{i}", "vector": [float(i), 0.5], "metadata": b"m", "tags": ["t"], "ts": i, "version": 0, "tombstone": False}
+    for policy in wal.SYNC:
+        files = store.Files(spark, f"file://{tmp_path}/{policy}")
+        log = wal.Log(files, sync=policy, batch=2)
+        log.append([row(1)])
+        log.append([row(2), {**row(3), "vector": None, "tombstone": True}])
+        old = log.cut()
+        log.append([row(4)])
+        log.sync()
+        assert [r["id"] for r in wal.Log(files).rows()] == ["r1", "r2", "r3", "r4"] and next(wal.Log(files).rows()) == row(1)
+        log.drop(old)
+        assert [r["id"] for r in wal.Log(files).rows()] == ["r4"]
+    # a store that cannot append
+    log = wal.Log(files, "remote", "batch", 2)
+    log.local, log.handle = None, None
+    for i in range(5):
+        log.append([row(i)])
+    assert [r["id"] for r in log.rows()] == ["r0", "r1", "r2", "r3"]
+    log.close()
+    assert [r["id"] for r in log.rows()][-1] == "r4"
+
+
+def test_two_writers_conflict(spark, tmp_path):
+    from vecloom.sources.store import Conflict, SegmentStore
+
+    one, two = SegmentStore(spark, f"file://{tmp_path}/s"), SegmentStore(spark, f"file://{tmp_path}/s")
+    seen = two.manifest()["generation"]
+    one.publish([], after=0)
+    with pytest.raises(Conflict):
+        two.publish([], after=seen)
+    assert two.files.claim("manifests/000000000002.claim")
+    with pytest.raises(Conflict):
+        one.publish([])
+    spark.range(1).selectExpr("cast(id as string) id").write.parquet(f"file://{tmp_path}/s/segments/segment_id=9")
+    assert one.orphans(3600) == [] and one.orphans() == ["segments/segment_id=9", "manifests/000000000002.claim"][:1] and one.collect_garbage() and one.orphans() == []
+
+
+def test_embedded():
+    from vecloom.embedded import Db
+
+    db = Db(2, "l2", flush_rows=2, compact_at=3)
+    for i in range(7):
+        db.upsert(f"r{i}", [float(i), 0.0], ["even"] if i % 2 == 0 else [], ts=1)
+    db.delete("r0", ts=2)
+    db.upsert("r1", [9.0, 0.0], ts=0)
+    assert db.get("r0") is None and db.get("r1")["vector"] == [1.0, 0.0]
+    assert [i for i, _ in db.search([0.0, 0.0], 2)] == ["r1", "r2"] and [i for i, _ in db.search([0.0, 0.0], 9, ["even"])] == ["r2", "r4", "r6"]
+    db.compact()
+    assert len(db.segments) == 1 and len(db.segments[0]) == 6 and not db.memtable
+    with pytest.raises(ValueError):
+        db.upsert("x", [1.0])
 
 
 def test_agreement(spark):
