@@ -72,8 +72,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, counts, base_failed and kept of every whole text, by limits fitted on the labelled documents."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    limits = quality.limits_of(docs, _table(spark, sf_dir, "labels"))
-    return quality.judge(docs, limits=limits).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+    return quality.judge(docs, limits=quality.limits_in(docs, sf_dir)).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
 def queries() -> dict:
