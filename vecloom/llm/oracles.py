@@ -112,6 +112,7 @@ def _secrets() -> str:
 WITH made AS (SELECT id, sha256('sample-' || id) AS digest, [{", ".join(f"'{x}'" for x in stems)}] AS stems FROM range({n}) t(id)),
 samples AS (SELECT id, true AS secret, CASE id % 4 WHEN 0 THEN substr(digest, 1, 40) WHEN 1 THEN upper(substr(digest, 1, 40)) ELSE substr(regexp_replace(to_base64(unhex(digest)), '[^A-Za-z0-9+/]', '', 'g'), 1, 40) END AS token FROM made
   UNION ALL SELECT id, false, CASE WHEN id % 6 = 5 THEN repeat(substr('{secret_scan.ALPHABET}', ((id // 6) % {len(secret_scan.ALPHABET)} + 1)::INT, 1), 24)
+    WHEN id % 7 = 3 THEN concat_ws('/', {", ".join(stem)})
     WHEN id % 5 = 0 THEN concat_ws('_', {", ".join(stem)}) WHEN id % 5 = 1 THEN {" || ".join([stem[0], *title[1:]])}
     WHEN id % 5 = 2 THEN concat_ws('-', {", ".join(stem[:3])}, id % 100) WHEN id % 5 = 3 THEN upper(concat_ws('_', {", ".join(stem[:3])})) ELSE {" || ".join(stem)} END FROM made),
 spelt AS (SELECT id, secret, list_transform(string_split(token, ''), lambda c: strpos('{secret_scan.ALPHABET}', c)) AS s FROM samples),

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table_literal
+from .common import aside, table_literal
 
 #: In the order in which spans that begin together are listed.
 KINDS = ("assign", "access", "hex", "markov")
@@ -31,7 +31,7 @@ MIN_MIXED = 12
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Symbols: the alphabet from 1, 0 for the start of a token.
 K = len(ALPHABET) + 1
-#: Nats per character by which the random model must win.
+#: Nats per character by which the random model must win. Held-out samples of the two classes lie on either side of it (see `measured`).
 THRESHOLD = 0.6
 #: Labelled samples: this many strings of each class, made by rule.
 SAMPLES = 3000
@@ -49,7 +49,7 @@ STEMS = (
 
 
 def default_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """(token, secret): digests in base64 and hex against identifiers composed of STEMS and runs of one character."""
+    """(token, secret): digests in base64 and hex against identifiers and paths composed of STEMS and runs of one character."""
     ids = spark.range(n, numPartitions=1)
     digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256)
     b64 = F.substring(F.regexp_replace(F.base64(F.unhex(digest)), "[^A-Za-z0-9+/]", ""), 1, 40)
@@ -62,6 +62,7 @@ def default_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     three = [stem(i) for i in range(4)]
     plain = ids.select(
         F.when(F.col("id") % 6 == 5, F.repeat(F.substr(F.lit(ALPHABET), (F.expr("id div 6") % len(ALPHABET) + 1).cast("int"), F.lit(1)), F.lit(24)))  # rulers and filler
+        .when(F.col("id") % 7 == 3, F.concat_ws("/", *three))
         .when(F.col("id") % 5 == 0, F.concat_ws("_", *three))
         .when(F.col("id") % 5 == 1, F.concat(three[0], *[F.initcap(s) for s in three[1:]]))
         .when(F.col("id") % 5 == 2, F.concat_ws("-", *three[:3], (F.col("id") % 100).cast("string")))
@@ -203,6 +204,10 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+#: Columns that a scan adds, and those that come and go.
+OWN = ("_base", "_spans", "_tokens", "_models", "_text")
+
+
 def scan(docs: DataFrame, text_col: str = "text", samples: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Every row with `_base` and `_spans`: array<struct<start,kind,stop>>, kind an index of KINDS.
 
@@ -211,9 +216,10 @@ def scan(docs: DataFrame, text_col: str = "text", samples: DataFrame | None = No
     what that class's smoothing yields. Rows are kept as they are, repeated ones
     too, and an empty table gives an empty result. Very long texts are scanned
     whole, in time that grows with the number of matches to the power 1.5 at most.
-    Column names that begin with an underscore are reserved.
+    Columns with the names of added ones are replaced, others pass through.
     """
     spark = docs.sparkSession
+    docs = docs.drop(*OWN)
     ratios = table_literal(ratio_table(default_samples(spark) if samples is None else samples))
     text = F.coalesce(F.col(text_col), F.lit(""))
     assign = F.filter(_found(text, _ASSIGN), lambda x: F.length(F.regexp_extract(x["match"], _ASSIGN, 2)) >= 12)
@@ -235,6 +241,8 @@ def scan(docs: DataFrame, text_col: str = "text", samples: DataFrame | None = No
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", **kw) -> DataFrame:
     """The documents with every span of their texts replaced by a mask; overlapping spans become one mask. Null texts stay null; what `scan` says of other cases holds."""
+    docs, back = aside(docs, *OWN)
+    text_col = {old: new for new, old in back.items()}.get(text_col, text_col)
     cols = docs.columns
     found = scan(docs, text_col, **kw)
     text, long = F.col(text_col), F.lit(0).cast("long")
@@ -260,4 +268,4 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", **kw
         return _let(F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda s: s["stop"]))), joined)
 
     redacted = F.when(F.size("_spans") > 0, _let(_blocks(F.array_sort(F.col("_spans"))), whole)).otherwise(text)
-    return found.withColumn("_text", redacted).select(*[F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in cols])
+    return found.withColumn("_text", redacted).select(*[F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in cols]).withColumnsRenamed(back)
