@@ -54,6 +54,18 @@ def need_integer(df: DataFrame, col: str) -> None:
         raise TypeError(f"{col} must hold integers, not {kind.simpleString()}")
 
 
+def aside(df: DataFrame, *reserved: str) -> tuple[DataFrame, dict[str, str]]:
+    """The table with columns that bear an operator's own names (in any case) renamed, and the way back: new name to old."""
+    own, back = {r.lower() for r in reserved}, {}
+    for c in df.columns:
+        if c.lower() in own:
+            name = f"{c}_kept"
+            while name.lower() in {x.lower() for x in [*df.columns, *back]}:
+                name += "_"
+            back[name] = c
+    return df.withColumnsRenamed({old: new for new, old in back.items()}), back
+
+
 def ship(spark: SparkSession) -> None:
     """Puts this package on the path of local Python workers; a cluster job ships it with --py-files."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

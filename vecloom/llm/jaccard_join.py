@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import SENT, Texts, bits_for, coded, finish, returned, rows_of, sent, sums_of
-from .common import drop, need_integer, ship, stored, trim
+from .common import aside, drop, need_integer, ship, stored, trim
 
 WIDTH, PERCENT = 4, 85
 #: Bytes of text in a chunk.
@@ -372,11 +372,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """One row of each component: that of the smallest id, a null id last, and of rows that repeat this id one. Rows without words all stay.
 
-    Rows are told apart by a key of their own, written out with them so that it is the same in every pass. The column name _row is reserved.
+    Rows are told apart by a key of their own, written out with them so that it
+    is the same in every pass. Ids may be of any type that has an order; columns
+    pass through whatever their names; an empty table gives an empty result.
     """
+    docs, back = aside(docs, "_row")
+    id_col, text_col = ({old: new for new, old in back.items()}.get(c, c) for c in (id_col, text_col))
     keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
     found = join(keyed.select("_row", F.col(text_col).alias("text")), "_row", "text", **kw)
     rows = found.join(keyed.select("_row", F.col(id_col).alias("_id")), "_row")
     first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))
     best = rows.filter("n_shingles > 0").groupBy("component_id").agg(first.alias("first")).select("first._row")
-    return keyed.join(best.union(rows.filter("n_shingles = 0").select("_row")), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(best.union(rows.filter("n_shingles = 0").select("_row")), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).withColumnsRenamed(back)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, aside
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -140,11 +140,14 @@ def scan(docs: DataFrame, text_col: str = "text", texts=KNOWN) -> DataFrame:
 
     The table of known texts is fixed, so it is broadcast; a text is looked up
     once, whatever its length, and texts are never grouped, so hot texts do no
-    harm. A null text has null digest; null and empty texts match nothing.
-    Columns named digest, licence or notices are replaced.
+    harm. A null text has null digest; null and empty texts match nothing. Very
+    long texts are looked up whole; repeated rows get a row each, an empty table
+    gives an empty result. Columns named digest, licence or notices are replaced,
+    others pass through whatever their names.
     """
     spark = docs.sparkSession
-    docs = docs.drop("digest", "licence", "notices")
+    docs, back = aside(docs.drop("digest", "licence", "notices"), "_digest", "_licence")
+    text_col = {old: new for new, old in back.items()}.get(text_col, text_col)
     table = F.broadcast(known(spark, texts))
     out = docs.withColumn("digest", digest(F.col(text_col))).join(table, F.col("digest") == F.col("_digest"), "left").withColumnRenamed("_licence", "licence").drop("_digest")
     forms = F.transform(F.filter(F.split(F.col(text_col), "\n"), lambda s: s != ""), lambda s: digest(s))
@@ -153,4 +156,4 @@ def scan(docs: DataFrame, text_col: str = "text", texts=KNOWN) -> DataFrame:
     found = F.array_sort(F.array_distinct(F.filter(F.transform(forms, lambda d: F.try_element_at(names, d)), lambda n: n.isNotNull())))
     bare = F.when(F.col("licence").isNull() & F.col(text_col).rlike(_HOLDER), digest(F.regexp_replace(F.col(text_col), _HOLDER, "")))
     out = out.withColumn("licence", F.coalesce("licence", F.try_element_at(names, bare)))
-    return out.withColumn("notices", F.coalesce(F.array_join(found, ","), F.lit("")))
+    return out.withColumn("notices", F.coalesce(F.array_join(found, ","), F.lit(""))).withColumnsRenamed(back)

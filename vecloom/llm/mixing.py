@@ -11,13 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, unit_hash
+from .common import aside, n_words, unit_hash
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2.0, "mix-1"
 #: Source tables of at most so many rows are broadcast; larger ones are joined by a salted shuffle.
 BROADCAST_SOURCES, SALTS = 20_000, 32
 
 
+#: Columns that a plan adds, and those that come and go.
+OWN = ("_size", "_mix", "_copies", "_copy", "_source", "_salt", "_salt_")
+
+
 def targets(sized: DataFrame, source: str = "source", size: str = "size", weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """One row per source: source, source_size, target, rate.
 
@@ -63,15 +67,17 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     Null texts have size 0; null sources are a source of their own, the last;
     rows that repeat are drawn alike, as they have the same key. An empty table
-    gives an empty result. Extra columns pass through; names that begin with an
-    underscore are reserved.
+    gives an empty result. Very long texts are counted whole. Extra columns pass
+    through; those with the names of added columns are replaced.
     """
-    sized = docs.withColumn("_size", n_words(F.col(text_col)))
+    sized = docs.drop(*OWN).withColumn("_size", n_words(F.col(text_col)))
     per = targets(sized, source_col, "_size", **kw)
     return with_rates(sized, per, id_col, source_col).withColumn("_copies", copies(F.col("_mix.rate"), F.col(id_col), F.col("_size"), seed=seed))
 
 
 def mix(docs: DataFrame, **kw) -> DataFrame:
     """The mixed corpus: each document as often as its plan says, with the columns of `docs`."""
-    planned = plan(docs, **kw).filter(F.col("_copies") > 0)
-    return planned.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept, back = aside(docs, *OWN)
+    planned = plan(kept, **kw).filter(F.col("_copies") > 0)
+    out = planned.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return out.select(*[F.col(f"`{c}`") for c in kept.columns]).withColumnsRenamed(back)

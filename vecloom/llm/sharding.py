@@ -15,6 +15,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import aside
+
 SLOTS = 65_537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
@@ -63,7 +65,12 @@ def place(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: int
     """Every row with `slot` and `shard`, by a broadcast join with the fixed-size table.
 
     Rows with equal keys go to one shard; a null key is placed as the empty text.
-    With no shards, shard is null. Columns named slot or shard are replaced.
+    With no shards, shard is null; an empty table gives an empty result. Columns
+    named slot or shard are replaced, unless the key is one, which is refused;
+    others pass through whatever their names.
     """
-    df = df.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots))
-    return df.join(F.broadcast(lookup(df.sparkSession, tuple(shards), slots)), F.col("slot") == F.col("_slot"), "left").drop("_slot")
+    if key.lower() in ("slot", "shard"):
+        raise ValueError("the key may not be named slot or shard")
+    df, back = aside(df.drop("slot", "shard"), "_slot")
+    df = df.withColumn("slot", slot_of(F.col({old: new for new, old in back.items()}.get(key, key)), slots))
+    return df.join(F.broadcast(lookup(df.sparkSession, tuple(shards), slots)), F.col("slot") == F.col("_slot"), "left").drop("_slot").withColumnsRenamed(back)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table_literal
+from .common import ascii_lower, aside, table_literal
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -88,9 +88,11 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
     URL. The verdict is the rule's, else allow if the score reaches the cutoff,
     the mean of the two classes' mean scores. Where no rule fits any URL, or
     only rules of one verdict do, there is nothing to tell apart and the others
-    are allowed. Repeated rows count as often as they occur.
+    are allowed. Repeated rows count as often as they occur; an empty table gives
+    an empty result. Other columns pass through whatever their names.
     """
-    pages = pages.drop("host", "path", "rule", "score", "verdict")
+    pages, back = aside(pages.drop("host", "path", "rule", "score", "verdict"), "_rule_verdict", "_symbols", "_keys")
+    url_col = {old: new for new, old in back.items()}.get(url_col, url_col)
     host, path = host_path(F.col(url_col))
     keyed = pages.withColumn("host", host).withColumn("path", path)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -103,4 +105,4 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
 
     means = labelled.withColumn("s", score()).groupBy().agg(F.avg(F.when(F.col("_rule_verdict") == "allow", F.col("s"))).alias("g"), F.avg(F.when(F.col("_rule_verdict") == "block", F.col("s"))).alias("b"))
     cutoff = means.select(F.coalesce((F.col("g") + F.col("b")) / 2, F.lit(float("-inf"))).alias("cutoff")).scalar()
-    return keyed.withColumn("score", score()).withColumn("verdict", F.coalesce("_rule_verdict", F.when((F.col("score") >= cutoff) | (F.size("_keys") == 0), F.lit("allow")).otherwise("block"))).drop("_rule_verdict", "_keys")
+    return keyed.withColumn("score", score()).withColumn("verdict", F.coalesce("_rule_verdict", F.when((F.col("score") >= cutoff) | (F.size("_keys") == 0), F.lit("allow")).otherwise("block"))).drop("_rule_verdict", "_keys").withColumnsRenamed(back)
