@@ -17,7 +17,7 @@ from vecloom.llm.common import drop, stored
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; their bands are fitted on the labelled documents."""
-    return quality.keep(docs, limits=quality.limits_of(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality.keep(docs, limits=quality.limits_in(docs, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
