@@ -60,6 +60,19 @@ def row_bytes(row_id: Column, vector: Column, metadata: Column, tags: Column, fi
     return (F.octet_length(row_id) + 4 * F.coalesce(F.size(vector), F.lit(0)) + F.coalesce(F.octet_length(metadata), F.lit(0)) + tag_bytes + F.lit(fixed)).cast("long")
 
 
+def percent_encoded(text: Column) -> Column:
+    """Text for a path or query: all but letters, digits and - _ . ~ as %XX."""
+    out = F.url_encode(text)
+    for other, one in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(other), F.lit(one))
+    return out
+
+
+def path_parts(path: Column) -> Column:
+    """The parts of a request's path, without empty ones and without its query."""
+    return F.filter(F.split(F.regexp_extract(path, "^[^?#]*", 0), "/"), lambda p: p != "")
+
+
 #: Presets of the graph index: neighbours, beam at build time, beam at search time.
 PROFILES = {"low_memory": (8, 50, 32), "balanced": (16, 128, 64), "high_recall": (32, 250, 256), "max_recall": (48, 500, 768)}
 

@@ -8,19 +8,22 @@ from ..functions import rules
 from . import lww
 
 
-def compact(log: DataFrame, segments: list[int] | None = None) -> DataFrame:
-    """The newest row of each id over the chosen segments (default: all but the memtable), as one segment, the oldest of them.
+def compact(log: DataFrame, segments: list[int] | None = None, drop_tombstones: bool | None = None, into: int | None = None) -> DataFrame:
+    """The newest row of each id over the chosen segments (default: all but the memtable), as one segment, by default the oldest of them.
 
     Tombstones go only if no segment is left out, since an older version may lie
-    in one that is; the memtable does not count, as its rows are never older.
+    in one that is; the memtable does not count, as its rows are never older. A
+    caller with a manifest says so, and names the new segment; else the log is
+    asked, of which only segment_id is read for that.
     """
     stored = log.filter(F.col("segment_id") != lww.MEMTABLE)
     chosen = stored if segments is None else stored.filter(F.col("segment_id").isin(segments))
-    merged = lww.newest(chosen)
-    left_out = stored.join(chosen.select("segment_id").distinct(), "segment_id", "left_anti").agg((F.count("*") > 0).alias("x"))
-    least = chosen.agg(F.min("segment_id").alias("least"))
-    keep = ~F.coalesce("tombstone", F.lit(False)) | left_out.select("x").scalar()
-    return merged.filter(keep).withColumn("segment_id", least.select("least").scalar())
+    if drop_tombstones is None and segments is not None:
+        others = stored.filter(~F.col("segment_id").isin(segments)).agg((F.count("*") > 0).alias("x")).select("x").scalar()
+    else:
+        others = F.lit(segments is not None and not drop_tombstones)
+    number = chosen.agg(F.min("segment_id").alias("least")).select("least").scalar() if into is None else F.lit(into).cast("long")
+    return lww.newest(chosen).filter(~F.coalesce("tombstone", F.lit(False)) | others).withColumn("segment_id", number)
 
 
 def needs_compaction(log: DataFrame) -> DataFrame:

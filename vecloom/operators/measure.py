@@ -79,6 +79,13 @@ def roll_up(reports: DataFrame) -> DataFrame:
     return per.agg(F.sum("rate").alias("total_rate"), F.avg("rate").alias("mean_rate"), F.percentile("rate", 0.5).alias("p50_rate"), F.percentile("rate", 0.95).alias("p95_rate"))
 
 
+def same_set(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(same): whether two tables have the same distinct rows."""
+    sides = one.withColumn("_side", F.lit(1)).unionByName(other.withColumn("_side", F.lit(2)))
+    per = sides.groupBy(*one.columns).agg(F.countDistinct("_side").alias("_n"))
+    return per.agg(F.coalesce(F.min("_n") == 2, F.lit(True)).alias("same"))
+
+
 def zipf_shares(items: DataFrame, number: str, total: int, period: int = 17, power: float = 1.3) -> DataFrame:
     """Adds weight 1 / (number % period + 1)^power and each item's share of `total`."""
     weighed = items.withColumn("weight", 1 / F.pow(F.col(number) % period + F.lit(1.0), F.lit(power)))

@@ -21,6 +21,14 @@ def inverted(rows: DataFrame, ordinal: str = "ord", segment: str = "segment_id")
     return postings(rows, ordinal, segment).groupBy(segment, "tag", F.bitmap_bucket_number(pos).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(pos)).alias("bitmap"), F.count("*").alias("n"))
 
 
+def ordinals(index: DataFrame, segment: str = "segment_id") -> DataFrame:
+    """(segment, tag, ord): the bitmaps of `inverted` spelt out again, byte by byte and only where one has bits."""
+    pairs = F.transform(F.regexp_extract_all(F.hex("bitmap"), F.lit(".."), F.lit(0)), lambda two, at: F.struct(at.alias("at"), F.conv(two, 16, 10).cast("int").alias("bits")))
+    some = F.filter(pairs, lambda p: p["bits"] != 0)
+    bits = F.flatten(F.transform(some, lambda p: F.transform(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda b: p["bits"].bitwiseAND(F.call_function("shiftleft", F.lit(1), b)) != 0), lambda b: p["at"] * 8 + b)))
+    return index.select(segment, "tag", "bucket", F.explode(bits).alias("bit")).select(segment, "tag", ((F.col("bucket") - 1) * BUCKET + F.col("bit")).cast("long").alias("ord"))
+
+
 def matching(rows: DataFrame, wanted: list[str], ordinal: str = "ord", segment: str = "segment_id") -> DataFrame:
     """(segment, ord) of rows with all wanted tags, by division of the postings; every row if none is wanted."""
     if not wanted:

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import engine
 from ..functions import rules, vector
 from ..operators import admission, ann, compaction, liveness, lww, measure, placement, search, tag_index
 from ..session import table
@@ -214,6 +215,11 @@ def tag_bitmap_cardinality(spark, d):
     return tag_index.cardinality(tag_index.inverted(vec(spark, d), "id"), ["odd", "label:3"])
 
 
+@query(f"WITH {_VEC} SELECT segment_id, unnest(tags) AS tag, id AS ord FROM vec")
+def tag_bitmap_round_trip(spark, d):
+    return tag_index.ordinals(tag_index.inverted(vec(spark, d), "id"))
+
+
 @query(f"WITH {_VEC} SELECT round(avg(CASE WHEN list_has_all(tags, ['even', 'label:1']) THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS selectivity FROM vec")
 def tag_selectivity(spark, d):
     return tag_index.selectivity(vec(spark, d), ["even", "label:1"]).select(F.round("selectivity", 6).alias("selectivity"))
@@ -307,6 +313,77 @@ def name_validation(spark, d):
     return table(spark, d, "customer").select("c_custkey", rules.valid_collection_name(F.col("c_name")).alias("name_ok"), rules.valid_document_id(F.col("c_name")).alias("id_ok"))
 
 
+@query("SELECT page_id, url_encode(url) AS encoded, list_filter(string_split(regexp_extract(url, '^[^?#]*'), '/'), lambda p: p <> '')[1] AS first FROM pages")
+def url_strings(spark, d):
+    return table(spark, d, "pages").select("page_id", rules.percent_encoded(F.col("url")).alias("encoded"), F.get(rules.path_parts(F.col("url")), F.lit(0)).alias("first"))
+
+
+# The collection API over a table whose size is fixed ------------------------------------
+
+
+def _countries(spark, d, **options) -> engine.Collection:
+    """A collection of the nations, in a folder of its own."""
+    c = engine.Collection(spark, f"{upsert.scratch(spark)}/collection-{uuid.uuid4().hex}", engine.Options(dimension=2, tier_threshold=0, **options))
+    return c
+
+
+def _nations(spark, d) -> list[dict]:
+    return [{"id": r["n_name"], "vector": [float(r["n_nationkey"]), float(r["n_regionkey"])], "tags": [f"region:{r['n_regionkey']}"], "ts": 1, "region": r["n_regionkey"]} for r in table(spark, d, "nation").collect()]  # 25 rows
+
+
+def _given(rows: list[dict]) -> list[dict]:
+    return [{k: v for k, v in r.items() if k != "region"} for r in rows]
+
+
+@query("SELECT n_name AS id, CASE WHEN n_regionkey = 2 THEN 3 ELSE 1 END::BIGINT AS ts FROM nation WHERE n_regionkey <> 1")
+def wal_recovery(spark, d):
+    """Rows of a segment, newer ones and tombstones of the log alone, as another process finds them."""
+    rows, c = _nations(spark, d), _countries(spark, d)
+    c.upsert_many(_given(rows))
+    c.flush()
+    c.upsert_many([r | {"ts": 3} for r in _given([r for r in rows if r["region"] == 2])])
+    for r in rows:
+        if r["region"] == 1:
+            c.delete(r["id"], ts=2)
+    again = engine.Collection(spark, c.store.root, c.options)
+    return again.list().select("id", "ts")
+
+
+@query("SELECT n_regionkey::BIGINT + 1 AS segment_id, n_name AS id FROM nation")
+def segment_write_scan(spark, d):
+    """A segment for each region, written, published and read by its id."""
+    rows, c = _nations(spark, d), _countries(spark, d)
+    for region in sorted({r["region"] for r in rows}):
+        c.upsert_many(_given([r for r in rows if r["region"] == region]))
+        c.flush()
+    return c.store.read().select("segment_id", "id")
+
+
+@query("SELECT 'segments/segment_id=2' AS path")
+def orphan_sweep(spark, d):
+    """What is left of a writer that did not come to publish."""
+    rows, c = _nations(spark, d), _countries(spark, d)
+    c.upsert_many(_given(rows))
+    c.flush()
+    c.store.write_segment(c.store.read(), 2)
+    return spark.createDataFrame([(x,) for x in c.store.collect_garbage() if x.startswith("segments")], "path string")
+
+
+@query("SELECT n_name AS id, -(power(n_nationkey - 7, 2) + power(n_regionkey - 2, 2))::DOUBLE AS score FROM nation WHERE n_regionkey <> 3 ORDER BY score DESC, id LIMIT 6")
+def search_by_segment_state(spark, d):
+    """One segment answers by its graph, one row by row, the memtable hides a region."""
+    rows, c = _nations(spark, d), _countries(spark, d)
+    c.upsert_many(_given([r for r in rows if r["region"] < 3]))
+    c.flush()
+    c.build_indexes()
+    c.upsert_many(_given([r for r in rows if r["region"] >= 3]))
+    c.flush()
+    for r in rows:
+        if r["region"] == 3:
+            c.delete(r["id"], ts=2)
+    return c.search([7.0, 2.0], 6, mode="graph")
+
+
 # Admission and logs ---------------------------------------------------------------
 
 
@@ -602,6 +679,11 @@ def missing_keys(spark, d):
     return measure.missing(_keys(spark, d), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key")))
 
 
+@query("SELECT NOT EXISTS (SELECT DISTINCT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem) AND NOT EXISTS (SELECT DISTINCT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders) AS same")
+def set_equality(spark, d):
+    return measure.same_set(_keys(spark, d), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key")))
+
+
 @query("WITH w AS (SELECT n_nationkey, 1 / power(n_nationkey % 17 + 1, 1.3) AS weight FROM nation) SELECT n_nationkey, round(weight, 6) AS weight, round(weight / sum(weight) OVER () * 1000, 6) AS share FROM w")
 def zipf_plan(spark, d):
     z = measure.zipf_shares(table(spark, d, "nation").select("n_nationkey"), "n_nationkey", 1000)
