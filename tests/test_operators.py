@@ -190,7 +190,7 @@ def test_replicated_rows_survive_a_node(spark):
 
 
 def test_batch_search_passes_over_unfit_rows(spark):
-    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.5, None]), (None, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.0])], "id long, vector array<double>")
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.5, None]), (None, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.0]), *[(i, [float("nan"), 0.0]) for i in range(10, 14)]], "id long, vector array<double>")
     asked = spark.createDataFrame([(9, [1.0, 0.0]), (8, None), (7, [1.0, 2.0, 3.0])], "query_id long, qvec array<double>")
     for block in (1, 100):
         got = [(r["query_id"], r["rank"], r["id"]) for r in search.batch_top_k(rows, asked, 2, block=block).orderBy("query_id", "rank").collect()]

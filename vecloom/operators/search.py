@@ -111,7 +111,8 @@ class Best:
         self.add_for(np.arange(first, first + len(s)), ids, s)
 
     def add_for(self, queries: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
-        """Scores of some queries (rows) with the rows `ids` (columns)."""
+        """Scores of some queries (rows) with the rows `ids` (columns); what is no number is passed over."""
+        s = np.where(np.isnan(s), -np.inf, s)
         floor = self.floor[queries, None]
         if s.shape[1] > self.k:
             floor = np.maximum(floor, np.partition(s, -self.k, axis=1)[:, [-self.k]])
