@@ -76,6 +76,14 @@ def test_url_models_match_a_plain_model(spark):
         assert abs(rows[u]["score"] - (log_p(u, good) - log_p(u, bad)) / len(u)) < 2e-4
 
 
+def test_url_cutoff_from_held_out_urls(spark, data):
+    """The cutoff lies between the classes on URLs that the models have not seen."""
+    rng = random.Random(4)
+    urls = [f"http://{rng.choice(('shop', 'store', 'market'))}{rng.randrange(999)}.com/buy/{rng.choice('abc')}{rng.randrange(99)}" for _ in range(300)] + [f"http://{rng.choice(('zzqx', 'xqzw', 'qqzx'))}{rng.randrange(999)}.net/es/{rng.choice('xyz')}" for _ in range(300)]
+    got = url_filter.measured(spark.createDataFrame([(u,) for u in urls], "url string")).first()
+    assert got["allowed"] > 30 < got["blocked"] and got["allowed_right"] >= 0.98 * got["allowed"] and got["blocked_right"] >= 0.98 * got["blocked"]
+
+
 def brute(rows, k=10):
     sound = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = {}

@@ -61,22 +61,29 @@ def _urls() -> str:
     def sums(by: str, n: str) -> str:
         return f"sum(x3) OVER (PARTITION BY {by}) AS x{n}, sum(y3) OVER (PARTITION BY {by}) AS y{n}"
 
+    def model(n: str, where: str) -> str:
+        """The table of log ratios learned from some of the labelled URLs."""
+        return f"""counts{n} AS (SELECT k, count(*) FILTER (rv = 'allow') AS x3, count(*) FILTER (rv = 'block') AS y3 FROM keyed WHERE rv IS NOT NULL AND {where} GROUP BY k),
+grid{n} AS (SELECT range AS k, coalesce(x3, 0)::DOUBLE AS x3, coalesce(y3, 0)::DOUBLE AS y3 FROM range({k**3}) LEFT JOIN counts{n} ON range = k),
+cells{n} AS (SELECT k, x3, y3, {sums(f"k // {k}", "c2")}, {sums(f"k % {k * k}", "2")}, {sums(f"k // {k} % {k}", "c1")}, {sums(f"k % {k}", "1")} FROM grid{n}),
+total{n} AS (SELECT count(*) FILTER (rv = 'allow') AS tx, count(*) FILTER (rv = 'block') AS ty FROM keyed WHERE {where}),
+ratios{n} AS (SELECT k, round(ln({p("x", "tx")} / {p("y", "ty")}), 4) AS v FROM cells{n}, total{n}),
+scored{n} AS (SELECT page_id, sum(v) / count(*) AS score FROM keyed JOIN ratios{n} ON keyed.k = ratios{n}.k GROUP BY page_id)"""
+
+    middle = "(avg(coalesce(score, 0)) FILTER (rv = 'allow') + avg(coalesce(score, 0)) FILTER (rv = 'block')) / 2"
     return f"""
 WITH cut AS (SELECT page_id, url, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '') AS rest FROM pages),
-hosted AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), {_AZ}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+hosted AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), {_AZ}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, ('0x' || substr(md5(coalesce(url, '')), 1, 8))::BIGINT % {url_filter.PARTS} AS part FROM cut),
 ruled AS (SELECT *, {rule} AS rule, {verdict} AS rv FROM hosted),
-spelt AS (SELECT page_id, rv, list_transform(list_filter(string_split(translate(translate(coalesce(url, ''), {_AZ}), '123456789', '000000000'), ''), lambda c: c <> ''), lambda c: strpos('{url_filter.ALPHABET}', c)) AS s FROM ruled),
-flat AS (SELECT page_id, rv, unnest(s) AS z, unnest(range(len(s))) AS i FROM spelt),
-keyed AS (SELECT page_id, rv, (lag(z, 2, {k - 1}) OVER w * {k} + lag(z, 1, {k - 1}) OVER w) * {k} + z AS k FROM flat WINDOW w AS (PARTITION BY page_id ORDER BY i)),
-counts AS (SELECT k, count(*) FILTER (rv = 'allow') AS x3, count(*) FILTER (rv = 'block') AS y3 FROM keyed WHERE rv IS NOT NULL GROUP BY k),
-grid AS (SELECT range AS k, coalesce(x3, 0)::DOUBLE AS x3, coalesce(y3, 0)::DOUBLE AS y3 FROM range({k**3}) LEFT JOIN counts ON range = k),
-cells AS (SELECT k, x3, y3, {sums(f"k // {k}", "c2")}, {sums(f"k % {k * k}", "2")}, {sums(f"k // {k} % {k}", "c1")}, {sums(f"k % {k}", "1")} FROM grid),
-total AS (SELECT count(*) FILTER (rv = 'allow') AS tx, count(*) FILTER (rv = 'block') AS ty FROM keyed),
-ratios AS (SELECT k, round(ln({p("x", "tx")} / {p("y", "ty")}), 4) AS v FROM cells, total),
-scored AS (SELECT page_id, sum(v) / count(*) AS score FROM keyed JOIN ratios ON keyed.k = ratios.k GROUP BY page_id),
-judged AS (SELECT r.page_id, host, path, rule, rv, coalesce(score, 0) AS score, score IS NULL AS empty FROM ruled r LEFT JOIN scored s ON r.page_id = s.page_id),
-cutoff AS (SELECT coalesce((avg(score) FILTER (rv = 'allow') + avg(score) FILTER (rv = 'block')) / 2, '-inf'::DOUBLE) AS c FROM judged)
-SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN score >= c OR empty THEN 'allow' ELSE 'block' END) AS verdict FROM judged, cutoff"""
+spelt AS (SELECT page_id, rv, part, list_transform(list_filter(string_split(translate(translate(coalesce(url, ''), {_AZ}), '123456789', '000000000'), ''), lambda c: c <> ''), lambda c: strpos('{url_filter.ALPHABET}', c)) AS s FROM ruled),
+flat AS (SELECT page_id, rv, part, unnest(s) AS z, unnest(range(len(s))) AS i FROM spelt),
+keyed AS (SELECT page_id, rv, part, (lag(z, 2, {k - 1}) OVER w * {k} + lag(z, 1, {k - 1}) OVER w) * {k} + z AS k FROM flat WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+{model("_all", "true")},
+{model("_fit", "part <> 0")},
+judged AS (SELECT r.page_id, host, path, rule, rv, part, score FROM ruled r LEFT JOIN scored_all s ON r.page_id = s.page_id),
+held AS (SELECT {middle} AS c FROM ruled r LEFT JOIN scored_fit s ON r.page_id = s.page_id WHERE part = 0),
+cutoff AS (SELECT coalesce((SELECT c FROM held), {middle}, '-inf'::DOUBLE) AS c FROM judged)
+SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN score >= c OR score IS NULL THEN 'allow' ELSE 'block' END) AS verdict FROM judged, cutoff"""
 
 
 def _licences() -> str:

@@ -3,7 +3,8 @@
 Host and path rules decide the URLs that they fit, and label the training data:
 two smoothed variable-order character Markov models, of allowed and of blocked
 URLs. The others are judged by the difference of the two log-likelihoods over
-the URL's length, against a cutoff calibrated on all labelled URLs.
+the URL's length, against a cutoff calibrated on held-out labelled URLs: a fifth
+of them is scored by models of the others.
 
 Orders 0 to 2 are folded into one table of K^3 log ratios, whose size depends on
 the alphabet only; it reaches the scan as a constant, so scoring needs no
@@ -23,6 +24,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz0./-_?=&#:%"
 K = len(ALPHABET) + 2
 #: Weight of the next lower order in each smoothed estimate, in counts.
 BACKOFF = 4.0
+#: One labelled URL in so many, by a hash of its text, is held out for the cutoff.
+PARTS = 5
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -81,12 +84,38 @@ def log_ratios(labelled: DataFrame) -> DataFrame:
     return out.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda c: c["v"]).alias("ratios"))
 
 
+def _part(url: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.coalesce(url, F.lit(""))), 1, 8), 16, 10).cast("long") % PARTS
+
+
+def _score(ratios: Column) -> Column:
+    return F.when(F.size("_keys") > 0, F.aggregate("_keys", F.lit(0.0), lambda s, k: s + F.element_at(ratios, (k + 1).cast("int"))) / F.size("_keys")).otherwise(0.0)
+
+
+def _means(labelled: DataFrame, ratios: Column) -> Column:
+    """The middle between the classes' mean scores; null if one has no URL."""
+    scored = labelled.withColumn("s", _score(ratios))
+    means = [F.avg(F.when(F.col("_rule_verdict") == v, F.col("s"))) for v in ("allow", "block")]
+    return scored.agg(((means[0] + means[1]) / 2).alias("middle")).select("middle").scalar()
+
+
+def measured(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
+    """One row (allowed, blocked, allowed_right, blocked_right): the held-out URLs of each class, and those on their side of the cutoff by models of the others."""
+    host, path = host_path(F.col(url_col))
+    _, verdict = rule_of(host, path, rules)
+    labelled = pages.select(verdict.alias("_rule_verdict"), trigrams(symbols(F.col(url_col))).alias("_keys"), _part(F.col(url_col)).alias("_part")).filter("_rule_verdict is not null")
+    ratios, held = table_literal(log_ratios(labelled.filter("_part != 0"))), labelled.filter("_part = 0")
+    good, above = F.col("_rule_verdict") == "allow", _score(ratios) >= _means(held, ratios)
+    return held.agg(F.count_if(good).alias("allowed"), F.count_if(~good).alias("blocked"), F.count_if(good & above).alias("allowed_right"), F.count_if(~good & ~above).alias("blocked_right"))
+
+
 def judge(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
     """Every row with host, path, rule, score and verdict; columns of these names are replaced.
 
     score is the log-likelihood difference per character, 0 for a null or empty
     URL. The verdict is the rule's, else allow if the score reaches the cutoff,
-    the mean of the two classes' mean scores. Where no rule fits any URL, or
+    the mean of the two classes' mean scores on held-out URLs; on all labelled
+    ones, if those that are held out lack a class. Where no rule fits any URL, or
     only rules of one verdict do, there is nothing to tell apart and the others
     are allowed. Repeated rows count as often as they occur; an empty table gives
     an empty result. Other columns pass through whatever their names.
@@ -97,12 +126,8 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
     keyed = pages.withColumn("host", host).withColumn("path", path)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     keyed = keyed.withColumn("rule", rule).withColumn("_rule_verdict", verdict).withColumn("_symbols", symbols(F.col(url_col))).withColumn("_keys", trigrams(F.col("_symbols"))).drop("_symbols")
-    labelled = keyed.filter(F.col("_rule_verdict").isNotNull()).select("_rule_verdict", "_keys")
+    labelled = keyed.filter(F.col("_rule_verdict").isNotNull()).select("_rule_verdict", "_keys", _part(F.col(url_col)).alias("_part"))
     ratios = table_literal(log_ratios(labelled))
-
-    def score() -> Column:
-        return F.when(F.size("_keys") > 0, F.aggregate("_keys", F.lit(0.0), lambda s, k: s + F.element_at(ratios, (k + 1).cast("int"))) / F.size("_keys")).otherwise(0.0)
-
-    means = labelled.withColumn("s", score()).groupBy().agg(F.avg(F.when(F.col("_rule_verdict") == "allow", F.col("s"))).alias("g"), F.avg(F.when(F.col("_rule_verdict") == "block", F.col("s"))).alias("b"))
-    cutoff = means.select(F.coalesce((F.col("g") + F.col("b")) / 2, F.lit(float("-inf"))).alias("cutoff")).scalar()
-    return keyed.withColumn("score", score()).withColumn("verdict", F.coalesce("_rule_verdict", F.when((F.col("score") >= cutoff) | (F.size("_keys") == 0), F.lit("allow")).otherwise("block"))).drop("_rule_verdict", "_keys").withColumnsRenamed(back)
+    held = _means(labelled.filter("_part = 0"), table_literal(log_ratios(labelled.filter("_part != 0"))))
+    cutoff = F.coalesce(held, _means(labelled, ratios), F.lit(float("-inf")))
+    return keyed.withColumn("score", _score(ratios)).withColumn("verdict", F.coalesce("_rule_verdict", F.when((F.col("score") >= cutoff) | (F.size("_keys") == 0), F.lit("allow")).otherwise("block"))).drop("_rule_verdict", "_keys").withColumnsRenamed(back)
