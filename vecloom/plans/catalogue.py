@@ -495,9 +495,17 @@ def apply_migrations(spark, d):
     return placement.apply(rows, placement.plan_add(_keys(spark, d), old, new, 2))
 
 
-@query()
+def _round(of: str, to: str, shift: int, factor: int) -> str:
+    return f"{to} AS (SELECT n_name, seed, (xor(x, x >> {shift}) * {factor}::UHUGEINT) & {(1 << 64) - 1}::UHUGEINT AS x FROM {of})"
+
+
+@query(f"""WITH s AS (SELECT n_name, seed, seed::UHUGEINT AS x FROM nation, range(4) t(seed)),
+{_round("s", "a", 30, 0xBF58476D1CE4E5B9)}, {_round("a", "b", 27, 0x94D049BB133111EB)},
+h AS (SELECT n_name, seed, list_reduce([xor({0xCBF29CE484222325}::UHUGEINT, xor(x, x >> 31))] || list_transform(string_split(n_name, ''), lambda c: ascii(c)::UHUGEINT), lambda v, y: (xor(v, y) * {0x100000001B3}::UHUGEINT) & {(1 << 64) - 1}::UHUGEINT) AS x FROM b),
+{_round("h", "i", 30, 0xBF58476D1CE4E5B9)}, {_round("i", "j", 27, 0x94D049BB133111EB)}
+SELECT n_name, seed, xor(x, x >> 31)::VARCHAR AS hash FROM j""")
 def hash64_parity(spark, d):
-    """Seeded hashes of the nations' names as unsigned decimals; the test compares them with a plain restatement."""
+    """Seeded hashes of the nations' names as unsigned decimals."""
     names = table(spark, d, "nation").select("n_name", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("seed"))
     return names.select("n_name", "seed", (placement.hash64(F.col("n_name"), F.col("seed")).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string").alias("hash"))
 
@@ -731,7 +739,7 @@ def ann_hnsw_recall(spark, d):
     return _recall(spark, d, ann.graph_search(v, _kept_edges(spark, v), _asked(v), 10), v, _asked(v))
 
 
-@query()
+@query("SELECT vec_id AS query_id, true AS same FROM embeddings WHERE vec_id % 100 = 0")
 def ann_hnsw_pinned(spark, d):
     """The answers with pinned upper layers and with all layers read, and whether they agree."""
     v = vec(spark, d)
