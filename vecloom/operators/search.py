@@ -79,6 +79,25 @@ def segment_hits(log: DataFrame, query: list[float], fetch: int, metric: str, ta
     return ranked(scored, ["segment_id"], fetch).select("id", "score")
 
 
+def reconciled(merged: DataFrame, log: DataFrame, query: list[float], k: int, metric: str, tags: list[str] | None = None) -> DataFrame:
+    """The first k of a short list of hits whose newest version is live and has the tags, scored again on it. Only the log's rows of these ids are looked at, and none is shuffled but those."""
+    near = log.join(F.broadcast(merged.select("id", F.col("score").alias("_score"))), "id")  # a short list
+    now = lww.newest(near).filter(rules.live(F.col("vector"), F.col("tombstone")))
+    if tags:
+        now = now.filter(rules.has_all_tags(F.col("tags"), tags))
+    kept = now.orderBy(F.desc("_score"), "id").limit(k)
+    return kept.select("id", vector.score(metric, F.col("vector"), literal(query)).alias("score")).orderBy(F.desc("score"), "id")
+
+
+def segment_hits(log: DataFrame, query: list[float], fetch: int, metric: str, tags: list[str] | None = None) -> DataFrame:
+    """(id, score): the best `fetch` live rows of each segment, versions that are stale included."""
+    fit = log.filter(rules.live(F.col("vector"), F.col("tombstone")))
+    if tags:
+        fit = fit.filter(rules.has_all_tags(F.col("tags"), tags))
+    scored = fit.select("segment_id", "id", vector.score(metric, F.col("vector"), literal(query)).alias("score"))
+    return ranked(scored, ["segment_id"], fetch).select("id", "score")
+
+
 def reconciled(merged: DataFrame, log: DataFrame, query: list[float], k: int, metric: str, tags: list[str] | None = None) -> DataFrame:
     """The first k of a short list of hits whose newest version is live and has the tags, scored again on it. Only the log's rows of these ids are looked at, and none is shuffled but those."""
     near = log.join(F.broadcast(merged.select("id")), "id", "left_semi")
