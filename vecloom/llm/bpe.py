@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: States and stable pairs kept in a worker; full memos are emptied, which costs time and changes nothing.
@@ -332,7 +332,7 @@ def read_ranks(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines() if line)}
 
 
-@lru_cache(2)
+@table
 def ranks_of(path: str | None = None) -> dict[bytes, int]:
     """A rank file; the default one comes with the public tokenizers installed on every worker."""
     import public_tokenizers
@@ -341,13 +341,13 @@ def ranks_of(path: str | None = None) -> dict[bytes, int]:
         return read_ranks(f.read())
 
 
-@lru_cache(2)
+@table
 def encoder(path: str | None) -> Transducer:
     """The encoder of a rank file, one in each worker."""
     return Transducer(ranks_of(path))
 
 
-@lru_cache(2)
+@table
 def decoder(path: str | None) -> Decoder:
     return Decoder({i: b for b, i in ranks_of(path).items()})
 

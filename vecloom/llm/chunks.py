@@ -86,6 +86,7 @@ def coded(docs: DataFrame, id_col: str, text_col: str, size: int | None = None)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()))], names=["chunk", "ids", "lens", "words", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         seq, ids, lens, hashes, held = 0, [], [], [], 0
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()

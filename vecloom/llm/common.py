@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _scratch: dict[str, SparkSession] = {}
+_tables: list = []
 
 
 def ascii_lower(c: Column) -> Column:
@@ -82,8 +83,16 @@ def _malloc_trim():
         return None
 
 
+def table(build):
+    """Caches large tables that a worker builds once and keeps from task to task, until a task of another operator calls `trim`."""
+    _tables.append(cached := lru_cache(2)(build))
+    return cached
+
+
 def trim() -> None:
-    """Returns freed memory of this worker to the system; allocators keep it otherwise, next to the other workers of the executor."""
+    """Lets go of the tables of other operators and returns freed memory of this worker to the system; workers and allocators keep it otherwise, next to the other workers of the executor."""
+    for cached in _tables:
+        cached.cache_clear()
     pa.default_memory_pool().release_unused()
     if f := _malloc_trim():
         f(0)
