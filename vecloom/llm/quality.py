@@ -6,11 +6,13 @@ compresses too well, random text too little. The limits are fitted on labelled
 documents, or given. Counts of words, symbols and repeats accompany the verdict.
 
 A Python operator, since zstandard is no Spark function: mapInArrow, one
-document at a time, no shuffle.
+document at a time, no shuffle. To fit limits, all labelled documents are measured
+and what was measured is sorted; the driver gets sums and a few ranks of it.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,17 +21,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, trim
+from .common import drop, ship, stored, trim
 
 #: zstandard level, and bytes of a chunk. A last chunk of under half of it is joined to the one before.
 LEVEL, CHUNK = 3, 4096
 #: Share of a text's chunks outside their band that rejects it.
 CHUNK_SHARE = 0.5
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-#: Labelled documents from which limits are fitted, at most: those of the least hash of their id.
-SAMPLE = 20_000
 #: Good documents on each side that a fitted limit gives up, in thousandths; room beyond the limit, as a ratio's share; documents of a length that a limit needs, and lengths that have one.
 GIVEN_UP, ROOM, ENOUGH, GROUPS = 2, 0.02, 100, 24
+EDGES = GIVEN_UP / 1000, 1 - GIVEN_UP / 1000
 _SYMBOLS, _WHITE = b"#*$%&|<>", "\x20\t\n\x0b\x0c\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -135,51 +136,104 @@ def fit(lengths: np.ndarray, wholes: np.ndarray, chunks: np.ndarray) -> Limits:
     """
     if len(lengths) < ENOUGH:
         return WIDE
-    x, edge = np.log2(np.maximum(lengths, 1).astype(np.float64)), [GIVEN_UP / 1000, 1 - GIVEN_UP / 1000]
-    parts = np.array_split(np.lexsort((wholes, x)), max(1, min(GROUPS, len(x) // ENOUGH)))
-    points: dict[float, tuple[float, float]] = {}
-    for i, part in enumerate(parts):
+    x = np.log2(np.maximum(lengths, 1).astype(np.float64))
+    groups = []
+    for part in np.array_split(np.lexsort((wholes, x)), max(1, min(GROUPS, len(x) // ENOUGH))):
         own, y = x[part], wholes[part]
         slope, start = np.polyfit(own, y, 1) if np.ptp(own) > 0 else (0.0, y.mean())
-        low, high = np.quantile(y - (slope * own + start), edge)
-        for place in [own.min()] * (i == 0) + [np.median(own)] + [own.max()] * (i == len(parts) - 1):
+        groups.append((own.min(), np.median(own), own.max(), slope, start, *np.quantile(y - (slope * own + start), EDGES)))
+    return _limits(groups, np.quantile(chunks, EDGES) if len(chunks) >= ENOUGH else None)
+
+
+def _limits(groups: list[tuple], chunk: tuple[float, float] | None) -> Limits:
+    """Limits from each group's least, middle and greatest logarithm of a length, its line and the EDGES of what is left, and the EDGES of all chunks."""
+    points: dict[float, tuple[float, float]] = {}
+    for i, (shortest, middle, longest, slope, start, low, high) in enumerate(groups):
+        for place in [shortest] * (i == 0) + [middle] + [longest] * (i == len(groups) - 1):
             points.setdefault(float(place), (float((slope * place + start + low) * (1 - ROOM)), float((slope * place + start + high) * (1 + ROOM))))
     at = sorted(points)
-    chunk = WIDE.chunk
-    if len(chunks) >= ENOUGH:
-        low, high = np.quantile(chunks, edge)
-        chunk = float(low * (1 - ROOM)), float(high * (1 + ROOM))
-    return Limits(tuple(at), tuple(points[p][0] for p in at), tuple(points[p][1] for p in at), chunk)
+    both = WIDE.chunk if chunk is None else (float(chunk[0] * (1 - ROOM)), float(chunk[1] * (1 + ROOM)))
+    return Limits(tuple(at), tuple(points[p][0] for p in at), tuple(points[p][1] for p in at), both)
+
+
+def _ordered(rows: DataFrame, *by: str) -> tuple[DataFrame, Callable[[int], int]]:
+    """The rows with `_at`, which grows in the order of `by`, and the `_at` of the row of a rank from 0. No task has all rows; of each partition its size comes to the driver."""
+    out = stored(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    sizes = sorted(tuple(r) for r in out.groupBy(F.shiftright("_at", 33).alias("part")).count().collect())
+    first = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+
+    def at(rank: int) -> int:
+        k = bisect_right(first, rank) - 1
+        return (sizes[k][0] << 33) + rank - first[k]
 
+    return out, at
 
-def limits_of(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1", sample: int = SAMPLE) -> Limits:
-    """Limits fitted on the good ones of at most `sample` labelled documents, those of the least hash of their id; labels without a document count for nothing.
 
-    Only lengths and ratios come to the driver, four times `sample` texts' at
-    most where ids repeat, and of a text's chunks the least and the greatest.
+def _edges(begin: int, n: int) -> list[tuple[int, int, float]]:
+    """For the EDGES of n sorted values from a rank on: the two ranks between which each lies, and how far."""
+    places = [(q * (n - 1), int(q * (n - 1))) for q in EDGES]
+    return [(begin + k, begin + min(k + 1, n - 1), p - k) for p, k in places]
+
+
+def limits_of(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1") -> Limits:
+    """What `fit` gives for all good labelled documents; labels without a document count for nothing, and of a text's chunks the least and the greatest.
+
+    Every document is measured where it lies, so that no text moves; a row of a
+    few numbers meets its label. Groups and quantiles are ranks of two sorts.
     """
     ship(docs.sparkSession)
-    chosen = labels.filter(good).select(F.col(id_col).alias("_key")).filter("_key is not null").distinct().orderBy(F.xxhash64("_key"), "_key").limit(sample)
-    texts = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_key"), "left_semi").select(F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         pack = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
-            rows = []
-            for t in batch.column(0):
+            taken, rows = [], []
+            for i, t in enumerate(batch.column(1)):
                 text = t.as_py()
                 n, _, _, _, rep = counts(text)
                 if not base_failed(n, rep):
                     raw = text.encode()
                     whole, chunks = ratios(raw, pack)
-                    rows.append((len(raw), whole, min(chunks), max(chunks)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.float64()))], names=["n", "whole", "least", "most"])
-
-    measured = texts.mapInArrow(run, "n long, whole double, least double, most double")
-    found = [tuple(r) for r in measured.orderBy(*measured.columns).limit(4 * sample).collect()]  # a label may have several documents; past so many the longest are left out
-    lengths, wholes, least, most = (np.array([r[i] for r in found]) for i in range(4))
-    long = lengths >= 1.5 * CHUNK
-    return fit(lengths, wholes, np.r_[least[long], most[long]])
+                    taken.append(i)
+                    rows.append((float(np.log2(len(raw))), whole, min(chunks), max(chunks), len(raw) >= 1.5 * CHUNK))
+            cells = [pa.array([r[i] for r in rows], k) for i, k in enumerate((*[pa.float64()] * 4, pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(taken, pa.int64())), *cells], names=["_key", "x", "whole", "least", "most", "chunked"])
+
+    chosen = labels.filter(good).select(F.col(id_col).alias("_key"))
+    texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("text")).filter("_key is not null")
+    measured = texts.mapInArrow(run, f"_key {docs.schema[id_col].dataType.simpleString()}, x double, whole double, least double, most double, chunked boolean")
+    found = stored(measured.join(chosen, "_key", "left_semi"), "measured")
+    total = found.count()
+    if total < ENOUGH:
+        drop(found)
+        return WIDE
+
+    parts = max(1, min(GROUPS, total // ENOUGH))
+    sizes = [total // parts + (i < total % parts) for i in range(parts)]
+    begins = np.cumsum([0, *sizes]).tolist()
+    rows, at = _ordered(found, "x", "whole", "_key")
+    drop(found)
+    grouped = rows.withColumn("g", sum(((F.col("_at") >= at(b)).cast("int") for b in begins[1:-1]), F.lit(0)))
+    lines = {}
+    for g, slope, x, y, shortest, longest, chunked in grouped.groupBy("g").agg(F.regr_slope("whole", "x"), F.avg("x"), F.avg("whole"), F.min("x"), F.max("x"), F.count_if("chunked")).collect():
+        slope = slope if longest > shortest else 0.0
+        lines[g] = slope, y - slope * x, shortest, longest, chunked
+    middle = [(at(b + (n - 1) // 2), at(b + n // 2)) for b, n in zip(begins, sizes)]
+    places = {r["_at"]: r["x"] for r in rows.filter(F.col("_at").isin(sorted({p for pair in middle for p in pair}))).select("_at", "x").collect()}
+
+    of = [F.element_at(F.array(*[F.lit(float(lines[g][k])) for g in range(parts)]), F.col("g") + 1) for k in (0, 1)]
+    left = grouped.select("g", (F.col("whole") - (of[0] * F.col("x") + of[1])).alias("v"), "_key")
+    n_chunks = 2 * sum(c for *_, c in lines.values())
+    of_chunks = rows.filter("chunked").select(F.lit(-1).alias("g"), F.explode(F.array("least", "most")).alias("v"), "_key")
+    values, at = _ordered(left.union(of_chunks), "g", "v", "_key")
+    drop(rows)
+    spots = [_edges(n_chunks + b, n) for b, n in zip(begins, sizes)] + ([_edges(0, n_chunks)] if n_chunks >= ENOUGH else [])
+    wanted = sorted({at(rank) for two in spots for low, high, _ in two for rank in (low, high)})
+    value = {r["_at"]: r["v"] for r in values.filter(F.col("_at").isin(wanted)).select("_at", "v").collect()}
+    drop(values)
+    edges = [[value[at(low)] + (value[at(high)] - value[at(low)]) * share for low, high, share in two] for two in spots]
+    groups = [(lines[g][2], (places[middle[g][0]] + places[middle[g][1]]) / 2, lines[g][3], *lines[g][:2], *edges[g]) for g in range(parts)]
+    return _limits(groups, edges[parts] if n_chunks >= ENOUGH else None)
 
 
 ADDED = pa.schema(
