@@ -207,6 +207,27 @@ def test_pinned_graph_search_is_the_whole_one(spark):
     assert len(find()) == 25 and find() == find(pinned=ann.pin(edges))
 
 
+def _large_segments(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(f"d{i}", i % 2, rng.normal(size=8).tolist()) for i in range(600)], "id string, segment_id long, vector array<double>")
+    asked = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(5)], "query_id long, qvec array<double>")
+    return rows, asked, ann.graph_edges(rows, part=100).cache()
+
+
+def test_graphs_of_a_large_segment_are_bounded(spark):
+    rows, asked, edges = _large_segments(spark)
+    nodes = edges.filter("layer = 0").groupBy("segment_id", "part").count().collect()
+    assert len(nodes) == 6 and sum(r["count"] for r in nodes) == 600 and max(r["count"] for r in nodes) < 150
+    got = {(r["query_id"], r["rank"]): r["id"] for r in ann.graph_search(rows, edges, asked, 5, beam=200).collect()}
+    truth = {}
+    for q, v in asked.collect():
+        near = sorted(rows.collect(), key=lambda r: -np.dot(r["vector"], v) / np.linalg.norm(r["vector"]))
+        truth |= {(q, n + 1): near[n]["id"] for n in range(5)}
+    assert got == truth
+    old = ann.graph_edges(rows).drop("part")  # as stored by earlier versions, one graph a segment
+    assert len(ann.graph_search(rows, old, asked, 5).collect()) == 25
+
+
 def test_knn_table_function(spark):
     from vecloom.functions import vector
 

@@ -1,18 +1,20 @@
 """Approximate search: inverted file (cells around centroids) and navigable small-world graphs per segment.
 
 IVF is the form for large tables: rows are laid out by cell, and a query reads
-`nprobe` cells. Graphs are built one per segment by a Python operator, inserted
-in id order with seeded levels, so a rebuild gives the same graph; a segment is
-the unit of memory and its rows are capped by compaction, not here.
+`nprobe` cells. Graphs are built by a Python operator, inserted in id order with
+seeded levels, so a rebuild gives the same graph. A segment of more than PART
+rows is dealt by the hash of the id over several graphs of about equal size, so
+neither a task's memory nor its time grows with the segment; a search asks all.
 """
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ from . import search
 #: Vectors from which centroids are learned, at most; every row is then assigned.
 SAMPLE = 100_000
 MAX_LAYERS = 16
+#: Rows of a graph, about; a larger segment has several.
+PART = 16_384
+#: Scores that a build holds at a time.
+SCORES = 1 << 21
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -102,9 +108,17 @@ class Graph:
         self.degree, self.build_beam, self.beam = PROFILES[profile]
         self.layers: list[dict[int, list[int]]] = []
         self.entry = -1
-        levels = np.minimum(np.floor(-np.log(1 - np.random.default_rng(seed).random(len(m))) / log(self.degree)).astype(int), MAX_LAYERS - 1)
-        for i, level in enumerate(levels.tolist()):
-            self._insert(i, level)
+        levels = np.minimum(np.floor(-np.log(1 - np.random.default_rng(seed).random(len(m))) / log(self.degree)).astype(int), MAX_LAYERS - 1).tolist()
+        if metric == "l2":  # by differences, which are exact for near rows
+            for i, level in enumerate(levels):
+                self._insert(i, level, self._to(self.m[i]))
+            return
+        at = 0
+        while at < len(levels):  # a block's scores with all rows before its end, by one multiplication
+            end = min(len(levels), at + max(1, min(256, SCORES // len(levels))))
+            for i, row in enumerate(self.m[at:end] @ self.m[:end].T, at):
+                self._insert(i, levels[i], self._among(memoryview(row)))
+            at = end
 
     @classmethod
     def load(cls, m: np.ndarray, layers: list[dict[int, list[int]]], metric: str = "cosine", profile: str = "balanced") -> Graph:
@@ -114,44 +128,82 @@ class Graph:
         return g
 
     def scores(self, q: np.ndarray, to: list[int]) -> np.ndarray:
-        v = self.m[to]
+        return self._with(self.m.take(to, 0), q)
+
+    def _with(self, v: np.ndarray, q: np.ndarray) -> np.ndarray:
         return -np.square(v - q).sum(1) if self.metric == "l2" else v @ q
 
-    def _beam(self, q: np.ndarray, start: list[int], width: int, layer: int) -> list[tuple[float, int]]:
-        links = self.layers[layer]
+    def _to(self, q: np.ndarray) -> Callable[[list[int]], list[float]]:
+        return lambda to: self.scores(q, to).tolist()
+
+    @staticmethod
+    def _among(row: memoryview) -> Callable[[list[int]], list[float]]:
+        return lambda to: [row[j] for j in to]
+
+    def _beam(self, scores: Callable[[list[int]], list[float]], start: list[int], width: int, layer: int) -> list[tuple[float, int]]:
+        links, push, pop, pushpop = self.layers[layer], heapq.heappush, heapq.heappop, heapq.heappushpop
         seen = set(start)
-        found = [(float(s), -i) for s, i in zip(self.scores(q, start), start)]
+        found = [(s, -i) for s, i in zip(scores(start), start)]
         open_ = [(-s, -i) for s, i in found]
         heapq.heapify(found)
         heapq.heapify(open_)
         while open_:
-            s, i = heapq.heappop(open_)
-            if len(found) >= width and -s < found[0][0]:
+            s, i = pop(open_)
+            full, least = len(found) >= width, found[0][0]
+            if full and -s < least:
                 break
             fresh = [j for j in links[i] if j not in seen]
+            if not fresh:
+                continue
             seen.update(fresh)
-            for t, j in zip(self.scores(q, fresh).tolist() if fresh else [], fresh):
-                if len(found) < width or t > found[0][0]:
-                    heapq.heappush(found, (t, -j))
-                    heapq.heappush(open_, (-t, j))
-                    if len(found) > width:
-                        heapq.heappop(found)
+            for t, j in zip(scores(fresh), fresh):
+                if not full:
+                    push(found, (t, -j))
+                    push(open_, (-t, j))
+                    full, least = len(found) >= width, found[0][0]
+                elif t > least:
+                    pushpop(found, (t, -j))
+                    push(open_, (-t, j))
+                    least = found[0][0]
         return sorted(((s, -i) for s, i in found), key=lambda x: (-x[0], x[1]))
 
     def _spread(self, near: list[tuple[float, int]], most: int) -> list[int]:
         """Neighbours that lie closer to the new node than to those already taken; the rest fill up."""
-        kept: list[int] = []
-        for s, i in near:
-            if len(kept) < most and (not kept or float(self.scores(self.m[i], kept).max()) < s):
-                kept.append(i)
-        for _, i in near:
-            if len(kept) >= most:
+        ids = [i for _, i in near]
+        v, s = self.m.take(ids, 0), np.array([x for x, _ in near])
+        free, kept, at = np.ones(len(ids), bool), [0], 1
+        closest = self._with(v, v[0])
+        while at < len(ids) and len(kept) < most:
+            closer = closest[at:] < s[at:]
+            n = int(closer.argmax())
+            if not closer[n]:
                 break
-            if i not in kept:
-                kept.append(i)
-        return kept
-
-    def _insert(self, node: int, level: int) -> None:
+            kept.append(at + n)
+            closest = np.maximum(closest, self._with(v, v[at + n]))
+            at += n + 1
+        free[kept] = False
+        return [ids[n] for n in kept + np.flatnonzero(free)[: most - len(kept)].tolist()]
+
+    def _prune(self, nodes: list[int], lists: list[list[int]]) -> list[list[int]]:
+        """`_spread` of the neighbours of several nodes, one too many each, side by side."""
+        to = np.array(lists)
+        own, v = self.m.take(nodes, 0), self.m.take(to, 0)
+        s = -np.square(v - own[:, None]).sum(2) if self.metric == "l2" else (v @ own[:, :, None])[:, :, 0]
+        to = np.take_along_axis(to, order := np.lexsort((to, -s)), 1)
+        s, v = np.take_along_axis(s, order, 1), self.m.take(to, 0)
+        if self.metric == "l2":  # seen from the node, so that common parts do not cancel
+            v = v - own[:, None]
+            n = np.square(v).sum(2)
+            pairs = 2 * (v @ v.transpose(0, 2, 1)) - n[:, :, None] - n[:, None, :]
+        else:
+            pairs = v @ v.transpose(0, 2, 1)
+        closest, kept = np.full(to.shape, -np.inf), np.empty(to.shape, bool)
+        for c in range(to.shape[1]):
+            kept[:, c] = new = closest[:, c] < s[:, c]
+            np.maximum(closest, pairs[:, c], out=closest, where=new[:, None])
+        return np.take_along_axis(to, np.argsort(~kept, axis=1, kind="stable"), 1)[:, :-1].tolist()
+
+    def _insert(self, node: int, level: int, scores: Callable[[list[int]], list[float]]) -> None:
         top = len(self.layers) - 1
         while len(self.layers) <= level:
             self.layers.append({})
@@ -160,19 +212,21 @@ class Graph:
         if self.entry < 0:
             self.entry = node
             return
-        q, at = self.m[node], [self.entry]
+        at = [self.entry]
         for layer in range(top, level, -1):
-            at = [self._beam(q, at, 1, layer)[0][1]]
+            at = [self._beam(scores, at, 1, layer)[0][1]]
         for layer in range(min(level, top), -1, -1):
-            near = self._beam(q, at, self.build_beam, layer)
+            links = self.layers[layer]
+            near = self._beam(scores, at, self.build_beam, layer)
             most = self.degree * (2 if layer == 0 else 1)
-            for other in self._spread(near, self.degree):
-                self.layers[layer][node].append(other)
-                back = self.layers[layer][other]
-                back.append(node)
-                if len(back) > most:
-                    order = sorted(zip(self.scores(self.m[other], back).tolist(), back), key=lambda x: (-x[0], x[1]))
-                    self.layers[layer][other] = self._spread(order, most)
+            links[node] = self._spread(near, self.degree)
+            full = []
+            for other in links[node]:
+                links[other].append(node)
+                if len(links[other]) > most:
+                    full.append(other)
+            if full:
+                links.update(zip(full, self._prune(full, [links[i] for i in full])))
             at = [i for _, i in near]
         if level > top:
             self.entry = node
@@ -180,52 +234,70 @@ class Graph:
     def search(self, q: np.ndarray, k: int, beam: int | None = None) -> list[tuple[float, int]]:
         if self.entry < 0 or k <= 0:
             return []
-        q = _prepared(np.asarray(q, np.float64)[None], self.metric)[0]
+        scores = self._to(_prepared(np.asarray(q, np.float64)[None], self.metric)[0])
         at = [self.entry]
         for layer in range(len(self.layers) - 1, 0, -1):
-            at = [self._beam(q, at, 1, layer)[0][1]]
-        return self._beam(q, at, max(beam or self.beam, k), 0)[:k]
+            at = [self._beam(scores, at, 1, layer)[0][1]]
+        return self._beam(scores, at, max(beam or self.beam, k), 0)[:k]
 
 
 def _segments(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.size("vector") > 0).select(F.col("segment_id").cast("long"), "id", "vector")
+    return rows.filter(F.size("vector") > 0).select(F.col("segment_id").cast("long").alias("segment_id"), "id", "vector")
 
 
 def _vectors(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
-    """A segment's rows in id order, and their vectors."""
+    """A graph's rows in id order, and their vectors."""
     t = t.sort_by("id").combine_chunks()
-    return t, np.array(t["vector"].to_pylist(), np.float64).reshape(len(t), -1)
+    v = t["vector"].combine_chunks()
+    if pc.count_distinct(pc.list_value_length(v)).as_py() > 1:
+        raise ValueError("vectors of different lengths in a segment")
+    return t, v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1)
+
+
+def _dealt(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows with their graph's number within the segment; `parts` (segment_id, parts) has one row for each segment."""
+    return rows.join(F.broadcast(parts.withColumnRenamed("segment_id", "_of")), F.col("segment_id").eqNullSafe(F.col("_of"))).select("segment_id", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id", "vector")
 
 
-def graph_edges(rows: DataFrame, metric: str = "cosine", profile: str = "balanced") -> DataFrame:
-    """(segment_id, layer, ord, neighbours): the graph of each segment's live rows, as a table to be kept. A node is its row's place in the segment's order of ids."""
+def graph_edges(rows: DataFrame, metric: str = "cosine", profile: str = "balanced", part: int = PART) -> DataFrame:
+    """(segment_id, part, layer, ord, neighbours): the graphs of each segment's live rows, as a table to be kept. A segment has one graph for each `part` rows begun; a node is its row's place in its graph's order of ids."""
 
     def build(t: pa.Table) -> pa.Table:
         t, m = _vectors(t)
         g = Graph(m, metric, profile)
-        out = [(t["segment_id"][0].as_py(), layer, i, links) for layer, nodes in enumerate(g.layers) for i, links in nodes.items()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())))], names=["segment_id", "layer", "ord", "neighbours"])
+        out = [(t["segment_id"][0].as_py(), t["part"][0].as_py(), layer, i, links) for layer, nodes in enumerate(g.layers) for i, links in nodes.items()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())))], names=["segment_id", "part", "layer", "ord", "neighbours"])
+
+    live = _segments(rows)
+    counts = live.groupBy("segment_id").agg(F.ceil(F.count("*") / part).alias("parts")).collect()  # one row for each segment
+    parts = rows.sparkSession.createDataFrame([tuple(r) for r in counts], "segment_id long, parts long")
+    graphs = sum(r[1] for r in counts)
+    dealt = _dealt(live, parts).repartition(max(1, min(4 * graphs, 4_096)), "segment_id", "part")  # few graphs share a task
+    return dealt.groupBy("segment_id", "part").applyInArrow(build, "segment_id long, part long, layer int, ord int, neighbours array<int>")
+
 
-    return _segments(rows).groupBy("segment_id").applyInArrow(build, "segment_id long, layer int, ord int, neighbours array<int>")
+def _parted(edges: DataFrame) -> DataFrame:
+    """Edges with their graph's number; graphs that were stored without one are their segment's only one."""
+    return edges.withColumn("part", F.coalesce("part", F.lit(0)) if "part" in edges.columns else F.lit(0)).withColumn("part", F.col("part").cast("long"))
 
 
 #: Rows of upper layers that may be pinned in every worker.
 MAX_PINNED = 2_000_000
 
 
-def pin(edges: DataFrame) -> dict[int, dict[int, dict[int, list[int]]]]:
-    """segment: layer: node: neighbours of the layers above the lowest, about one node in the degree; refused above MAX_PINNED rows. A search with it reads layer 0 alone."""
-    rows = edges.filter("layer > 0").select("segment_id", "layer", "ord", "neighbours").limit(MAX_PINNED + 1).collect()
+def pin(edges: DataFrame) -> dict[tuple[int, int], dict[int, dict[int, list[int]]]]:
+    """(segment, part): layer: node: neighbours of the layers above the lowest, about one node in the degree; refused above MAX_PINNED rows. A search with it reads layer 0 alone."""
+    rows = _parted(edges).filter("layer > 0").select("segment_id", "part", "layer", "ord", "neighbours").limit(MAX_PINNED + 1).collect()
     if len(rows) > MAX_PINNED:
         raise ValueError(f"more than {MAX_PINNED} nodes to pin")
-    out: dict[int, dict[int, dict[int, list[int]]]] = {}
+    out: dict[tuple[int, int], dict[int, dict[int, list[int]]]] = {}
     for r in rows:
-        out.setdefault(r[0], {}).setdefault(r[1], {})[r[2]] = r[3]
+        out.setdefault((r[0], r[1]), {}).setdefault(r[2], {})[r[3]] = r[4]
     return out
 
 
 def graph_search(rows: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", profile: str = "balanced", beam: int | None = None, pinned: dict | None = None) -> DataFrame:
-    """query_id, rank, id, score: each segment's stored graph answers every query of a block, and the answers are merged.
+    """query_id, rank, id, score: each segment's stored graphs answer every query of a block, and the answers are merged.
 
     `rows` are the segments' live rows that `edges` was built from. Segments
     without a graph answer nothing. With `pinned` upper layers only the edges of
@@ -240,7 +312,7 @@ def graph_search(rows: DataFrame, edges: DataFrame, queries: DataFrame, k: int =
             hits = []
             if len(left) and len(right):
                 t, m = _vectors(left)
-                layers: dict[int, dict[int, list[int]]] = {n: dict(nodes) for n, nodes in above.value.get(t["segment_id"][0].as_py(), {}).items()} if above else {}
+                layers: dict[int, dict[int, list[int]]] = {n: dict(nodes) for n, nodes in above.value.get((t["segment_id"][0].as_py(), t["part"][0].as_py()), {}).items()} if above else {}
                 for n, i, links in zip(*(right[c].to_pylist() for c in ("layer", "ord", "neighbours"))):
                     layers.setdefault(n, {})[i] = links
                 g = Graph.load(m, [layers[n] for n in sorted(layers)], metric, profile)
@@ -251,11 +323,12 @@ def graph_search(rows: DataFrame, edges: DataFrame, queries: DataFrame, k: int =
         return run
 
     asked = queries.select(F.col("query_id").cast("long"), F.col("qvec").cast("array<double>")).filter("query_id is not null and size(qvec) > 0")
-    kept = (edges.filter("layer = 0") if above else edges).select(F.col("segment_id").cast("long"), "layer", "ord", "neighbours")
+    kept = _parted(edges.filter("layer = 0") if above else edges).select(F.col("segment_id").cast("long").alias("segment_id"), "part", "layer", "ord", "neighbours")
+    dealt = _dealt(_segments(rows), kept.groupBy("segment_id").agg((F.max("part") + 1).alias("parts")))
     out = None
     for mine in search.taken(asked, search.BLOCK):
         sent = spark.sparkContext.broadcast([(r[0], r[1]) for r in mine])
-        part = _segments(rows).groupBy("segment_id").cogroup(kept.groupBy("segment_id")).applyInArrow(answer(sent), f"query_id long, id {kind}, score double")
+        part = dealt.groupBy("segment_id", "part").cogroup(kept.groupBy("segment_id", "part")).applyInArrow(answer(sent), f"query_id long, id {kind}, score double")
         out = part if out is None else out.unionByName(part)
     best = out.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return search.ranked(best, ["query_id"], k).select("query_id", "rank", "id", "score")
@@ -265,8 +338,9 @@ def check_edges(edges: DataFrame, profile: str = "balanced") -> DataFrame:
     """(problem, n) of a table of edges: self-loops, nodes of too high a degree, neighbours that are not on the layer."""
     degree = PROFILES[profile][0]
     limit = F.when(F.col("layer") == 0, 2 * degree).otherwise(degree)
-    pairs = edges.select("segment_id", "layer", "ord", F.explode("neighbours").alias("to"))
-    absent = pairs.join(edges.select("segment_id", "layer", F.col("ord").alias("to")), ["segment_id", "layer", "to"], "left_anti")
+    edges = _parted(edges)
+    pairs = edges.select("segment_id", "part", "layer", "ord", F.explode("neighbours").alias("to"))
+    absent = pairs.join(edges.select("segment_id", "part", "layer", F.col("ord").alias("to")), ["segment_id", "part", "layer", "to"], "left_anti")
 
     def n(df: DataFrame, problem: str) -> DataFrame:
         return df.agg(F.count("*").alias("n")).select(F.lit(problem).alias("problem"), "n")
