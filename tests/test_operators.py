@@ -228,6 +228,13 @@ def test_graphs_of_a_large_segment_are_bounded(spark):
     assert len(ann.graph_search(rows, old, asked, 5).collect()) == 25
 
 
+def test_pinned_search_of_a_large_segment(spark):
+    rows, asked, edges = _large_segments(spark)
+    assert {part for _, part in ann.pin(edges)} == {0, 1, 2}
+    find = lambda **kw: sorted(map(tuple, ann.graph_search(rows, edges, asked, 5, **kw).collect()))
+    assert len(find()) == 25 and find() == find(pinned=ann.pin(edges))
+
+
 def test_knn_table_function(spark):
     from vecloom.functions import vector
 

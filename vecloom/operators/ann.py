@@ -254,26 +254,29 @@ def _vectors(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
     return t, v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1)
 
 
-def _dealt(rows: DataFrame, parts: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, parts: DataFrame, *more: str) -> DataFrame:
     """Rows with their graph's number within the segment; `parts` (segment_id, parts) has one row for each segment."""
-    return rows.join(F.broadcast(parts.withColumnRenamed("segment_id", "_of")), F.col("segment_id").eqNullSafe(F.col("_of"))).select("segment_id", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id", "vector")
+    return rows.join(F.broadcast(parts.withColumnRenamed("segment_id", "_of")), F.col("segment_id").eqNullSafe(F.col("_of"))).select("segment_id", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id", "vector", *more)
 
 
 def graph_edges(rows: DataFrame, metric: str = "cosine", profile: str = "balanced", part: int = PART) -> DataFrame:
     """(segment_id, part, layer, ord, neighbours): the graphs of each segment's live rows, as a table to be kept. A segment has one graph for each `part` rows begun; a node is its row's place in its graph's order of ids."""
 
-    def build(t: pa.Table) -> pa.Table:
-        t, m = _vectors(t)
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]  # one graph's rows
+        if not held:
+            return
+        t, m = _vectors(pa.Table.from_batches(held))
         g = Graph(m, metric, profile)
         out = [(t["segment_id"][0].as_py(), t["part"][0].as_py(), layer, i, links) for layer, nodes in enumerate(g.layers) for i, links in nodes.items()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())))], names=["segment_id", "part", "layer", "ord", "neighbours"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())))], names=["segment_id", "part", "layer", "ord", "neighbours"])
 
     live = _segments(rows)
     counts = live.groupBy("segment_id").agg(F.ceil(F.count("*") / part).alias("parts")).collect()  # one row for each segment
-    parts = rows.sparkSession.createDataFrame([tuple(r) for r in counts], "segment_id long, parts long")
-    graphs = sum(r[1] for r in counts)
-    dealt = _dealt(live, parts).repartition(max(1, min(4 * graphs, 4_096)), "segment_id", "part")  # few graphs share a task
-    return dealt.groupBy("segment_id", "part").applyInArrow(build, "segment_id long, part long, layer int, ord int, neighbours array<int>")
+    firsts = np.cumsum([0] + [r[1] for r in counts]).tolist()  # each graph has a task of its own, by number
+    parts = rows.sparkSession.createDataFrame([(*r, n) for r, n in zip(counts, firsts)], "segment_id long, parts long, first long")
+    dealt = _dealt(live, parts, "first").repartitionById(max(1, firsts[-1]), (F.col("first") + F.col("part")).cast("int"))
+    return dealt.drop("first").mapInArrow(build, "segment_id long, part long, layer int, ord int, neighbours array<int>")
 
 
 def _parted(edges: DataFrame) -> DataFrame:
