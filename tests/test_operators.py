@@ -235,6 +235,20 @@ def test_pinned_search_of_a_large_segment(spark):
     assert len(find()) == 25 and find() == find(pinned=ann.pin(edges))
 
 
+def test_invariants_of_a_large_segment(spark):
+    """Nodes of one graph are no neighbours of another's, and lists are pruned as one by one."""
+    _, _, edges = _large_segments(spark)
+    assert [r["n"] for r in ann.check_edges(edges).collect()] == [0, 0, 0]
+    strange = edges.withColumn("part", F.when(F.col("ord") == 3, 9).otherwise(F.col("part")))
+    assert ann.check_edges(strange).filter("problem = 'absent'").first()["n"] > 0
+    m = np.random.default_rng(1).normal(size=(40, 8))
+    for metric in ("cosine", "l2"):
+        g = ann.Graph(m, metric)
+        lists = [list(range(20)), list(range(10, 30))]
+        near = lambda i, to: sorted(zip(g.scores(g.m[i], to).tolist(), to), key=lambda x: (-x[0], x[1]))
+        assert g._prune([35, 36], lists) == [g._spread(near(i, to), 19) for i, to in zip((35, 36), lists)]
+
+
 def test_knn_table_function(spark):
     from vecloom.functions import vector
 
