@@ -1,8 +1,10 @@
 """Small cases of single operators."""
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -249,6 +251,27 @@ def test_invariants_of_a_large_segment(spark):
         assert g._prune([35, 36], lists) == [g._spread(near(i, to), 19) for i, to in zip((35, 36), lists)]
 
 
+def _peak(spark, monkeypatch, plan, *cell) -> int:
+    """Bytes that a task of a batch search of 2,000 queries holds over one batch of 10,000 rows."""
+    rng = np.random.default_rng(2)
+    tasks = []
+    real = type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema: tasks.append(f) or real(self, f, schema))
+    plan(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2_000, 4)))], "query_id long, qvec array<double>"))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(rng.normal(size=(10_000, 4)).tolist()), *cell], names=["id", "vector", "cell"][: 2 + len(cell)])
+    tracemalloc.start()
+    out = list(tasks[-1](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in out) == 20_000
+    return peak
+
+
+def test_batch_search_holds_a_tile_of_scores(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "id long, vector array<double>")
+    assert _peak(spark, monkeypatch, lambda asked: search.batch_top_k(rows, asked, 10)) < 80e6
+
+
 def test_knn_table_function(spark):
     from vecloom.functions import vector
 

@@ -20,6 +20,8 @@ from . import lww
 
 #: Queries that are broadcast at a time.
 BLOCK = 8_192
+#: Queries and rows that are multiplied at a time: what a task holds besides its lists.
+TILE, TILE_ROWS = 256, 2_048
 
 
 def literal(v: list[float]) -> Column:
@@ -124,21 +126,35 @@ class Best:
     def __init__(self, queries: int, k: int):
         self.k, self.floor = k, np.full(queries, -np.inf)
         self.q, self.id, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-
-    def add(self, first: int, ids: np.ndarray, s: np.ndarray) -> None:
-        """Scores of the queries from `first` on (rows) with the rows `ids` (columns)."""
-        self.add_for(np.arange(first, first + len(s)), ids, s)
+        self.fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
 
     def add_for(self, queries: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
         """Scores of some queries (rows) with the rows `ids` (columns); what is no number is passed over."""
-        s = np.where(np.isnan(s), -np.inf, s)
+        s[np.isnan(s)] = -np.inf
         floor = self.floor[queries, None]
         if s.shape[1] > self.k:
             floor = np.maximum(floor, np.partition(s, -self.k, axis=1)[:, [-self.k]])
         i, j = np.nonzero((s >= floor) & (s > -np.inf))
-        self.q, self.id, self.score = np.r_[self.q, queries[i]], np.r_[self.id, ids[j]], np.r_[self.score, s[i, j]]
+        self.fresh.append((queries[i], ids[j], s[i, j]))
+        self.waiting += len(i)
+        if self.waiting > 4 * self.k * len(self.floor):
+            self.cut()
+
+    def add_rows(self, who: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, metric: str, own: np.ndarray | None = None) -> None:
+        """Scores of the queries `who` (of all, `q`) with rows (`ids`, `m`), a tile at a time; `own`: for each query an id that it must not find."""
+        for row in range(0, len(ids), TILE_ROWS):
+            some, part = ids[row : row + TILE_ROWS], m[row : row + TILE_ROWS]
+            for at in range(0, len(who), TILE):
+                mine = who[at : at + TILE]
+                s = _scores(q[mine], part, metric)
+                if own is not None:
+                    s[own[mine, None] == some[None, :]] = -np.inf
+                self.add_for(mine, some, s)
 
     def cut(self) -> None:
+        self.q, self.id, self.score = (np.concatenate(c) for c in zip((self.q, self.id, self.score), *self.fresh))
+        self.fresh, self.waiting = [], 0
         order = np.lexsort((self.id, -self.score, self.q))
         q = self.q[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
@@ -187,15 +203,11 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str =
 
             def run(batches: Iterator[pa.RecordBatch], sent=sent, width=width) -> Iterator[pa.RecordBatch]:
                 ids, q = sent.value
-                best = Best(len(ids), k)
+                best, who = Best(len(ids), k), np.arange(len(ids))
                 for batch in batches:
                     own, m = matrix(batch, width)
-                    for at in range(0, len(ids) if len(own) else 0, 512):
-                        s = _scores(q[at : at + 512], m, metric)
-                        if exclude_self:
-                            s[ids[at : at + 512, None] == own[None, :]] = -np.inf
-                        best.add(at, own, s)
-                    best.cut()
+                    best.add_rows(who, q, own, m, metric, ids if exclude_self else None)
+                best.cut()
                 yield pa.RecordBatch.from_arrays([pa.array(ids[best.q]), pa.array(best.id), pa.array(best.score)], names=["query_id", "id", "score"])
 
             part = slim.mapInArrow(run, "query_id long, id long, score double")
