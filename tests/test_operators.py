@@ -272,6 +272,11 @@ def test_batch_search_holds_a_tile_of_scores(spark, monkeypatch):
     assert _peak(spark, monkeypatch, lambda asked: search.batch_top_k(rows, asked, 10)) < 80e6
 
 
+def test_inverted_file_holds_a_tile_of_scores(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0], 0)], "id long, vector array<double>, cell long")
+    assert _peak(spark, monkeypatch, lambda asked: ann.ivf_search(rows, np.ones((1, 4)), asked, 10), pa.array([0] * 10_000)) < 80e6
+
+
 def test_knn_table_function(spark):
     from vecloom.functions import vector
 

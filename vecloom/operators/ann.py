@@ -91,8 +91,8 @@ def ivf_search(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, k: i
                     who = np.array(wanted.get(c, []), np.int64)
                     own, m = search.matrix(batch.filter(pa.array(cells == c)), qs.shape[1])
                     if len(who) and len(own):
-                        best.add_for(who, own, search._scores(qs[who], m, metric))
-                best.cut()
+                        best.add_rows(who, qs, own, m, metric)
+            best.cut()
             yield pa.RecordBatch.from_arrays([pa.array(ids[best.q]), pa.array(best.id), pa.array(best.score)], names=["query_id", "id", "score"])
 
         part = indexed.filter(F.col("cell").isin(sorted(by_cell))).select("id", "vector", "cell").mapInArrow(run, "query_id long, id long, score double")
